@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, media, pii, quality, simhash, warc
+from . import bpe, decontaminate, html, media, pii, quality, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"), with_media=False)
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_wrappers": op2_html_wrappers,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_quality_trees": op4_quality_trees,
+    "op5_latent_decontamination": op5_latent_decontamination,
     "op6_media_columns": op6_media_columns,
     "op7_simhash_bktree": op7_simhash_bktree,
     "op8_pii_bootstrap": op8_pii_bootstrap,
