@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, media, pii, quality, simhash, suffixes, warc
+from . import bpe, chat, decontaminate, html, media, pii, quality, simhash, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_wrappers": op2_html_wrappers,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_bktree": op7_simhash_bktree,
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_warc_normaliser": op9_warc_normaliser,
+    "op10_chat_quotes": op10_chat_quotes,
 }
 
 ORACLES: dict[str, str] = {}
