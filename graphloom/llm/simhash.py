@@ -170,3 +170,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(named, radius), "simhash-cc")
     classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return found.join(classes, "fp", "left").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component_id").cast(docs.schema[id_col].dataType))
+
+
+# Near-duplicate documents at a similarity of 0.8, for filtering a corpus.
+# Fingerprints have 256 bits here, over five-word shingles: texts with a Jaccard
+# similarity of 0.8 differ in 39 of them on average (standard deviation 6).  At
+# such a radius no choice of equal bytes helps, so shards are named by bands of
+# four minimum hashes; a pair at 0.8 misses all 18 bands once in 13,000.
+
+WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS = 5, 256, 46
+BANDS, BAND_ROWS = 18, 4
+#: Members of a shard that one BK-tree holds; larger shards are dealt to cells of two slices.
+SHARD = 2000
+
+_SEEDS = np.random.default_rng(42).integers(1, 2**63, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
+_SPREAD = np.random.default_rng(43).integers(1, 2**63, WIDE_BITS // 64, np.uint64) | np.uint64(1)
+
+
+def wide_fingerprint(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The 256-bit SimHash of a text, and the 18 keys of its bands."""
+    words = text.lower().split()
+    line, size = b" ".join(words), WIDE_SHINGLE
+    if len(words) <= size:
+        shingles = [line]
+    else:
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate(([0], stops[:-size])).tolist()
+        shingles = [line[s:e] for s, e in zip(starts, (stops[size - 1 :] - 1).tolist())]
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    ones = np.zeros(WIDE_BITS, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for low in range(0, len(h), 8192):
+        part = h[low : low + 8192, None]
+        wide = part * _SPREAD
+        wide ^= wide >> np.uint64(31)
+        wide *= np.uint64(0xD6E8FEB86659FD93)
+        wide ^= wide >> np.uint64(32)
+        ones += np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, (part * _SEEDS[0] + _SEEDS[1]).min(axis=0))
+    keys = [digest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return np.packbits(2 * ones > len(h)).tobytes(), np.array(keys, np.uint64).view(np.int64)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
+    """``(id, text_hash, n, kept)`` per distinct id and text: in how many rows it
+    occurs, and whether it stands for its class of copies and near copies (the
+    smallest id does, null ids last)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t) for t in bytes_of(batch)]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), pa.array([f for f, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["id", "text_hash", "wide", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    scanned = stored(rows.mapInArrow(run, f"id {kind}, text_hash bigint, wide binary, keys array<bigint>"), "near-scan")
+    texts = scanned.select("text_hash", "wide", "keys").dropDuplicates(["text_hash"])
+    spread = stored(texts.select(F.explode("keys").alias("key"), F.col("text_hash").alias("node"), "wide"), "near-spread")
+    large = spread.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHARD).select(F.col("key").alias("k2"), F.ceil(F.col("size") / SHARD).alias("slices"))
+    dealt = spread.join(large, F.col("key") == F.col("k2"), "left").withColumn("mine", F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("node"), F.col("slices"))))
+    cells = dealt.withColumn("other", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))))
+    cells = cells.select("key", F.coalesce(F.least("mine", "other"), F.lit(0)).alias("a"), F.coalesce(F.greatest("mine", "other"), F.lit(0)).alias("b"), "node", "wide")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(cols: list[list]) -> pa.RecordBatch:
+            u: list[int] = []
+            v: list[int] = []
+            keys, nodes, wides = cols
+            s = 0
+            for e in [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]:
+                if e - s > 1:
+                    for i, j in forest([int.from_bytes(w, "big") for w in wides[s:e]], radius):
+                        u.append(nodes[s + i])
+                        v.append(nodes[s + j])
+                s = e
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        rest: list[list] = [[], [], []]
+        for batch in batches:
+            keys = list(zip(*(column(batch, c).to_pylist() for c in ("key", "a", "b"))))
+            cols = [r + c for r, c in zip(rest, (keys, column(batch, "node").to_pylist(), column(batch, "wide").to_pylist()))]
+            last = len(cols[0])
+            while last and cols[0][last - 1] == cols[0][-1]:  # the last shard may go on in the next batch
+                last -= 1
+            yield joined([c[:last] for c in cols])
+            rest = [c[last:] for c in cols]
+        yield joined(rest)
+
+    edges = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(linked, "u bigint, v bigint")
+    roots = connected_components(edges, "near-cc")
+    members = scanned.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
+    classes = members.join(roots, F.col("text_hash") == F.col("node"), "left").withColumn("root", F.coalesce("root", "text_hash")).select("id", "text_hash", "n", "root")
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")).select(F.col("root").alias("r2"), "best")
+    return classes.join(best, F.col("root") == F.col("r2")).select("id", "text_hash", "n", (F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.text_hash") == F.col("text_hash"))).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class of copies and near copies, all columns kept."""
+    found = stored(near_copies(docs, id_col, text_col), "near-classes")
+    gone = found.where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    names = docs.columns
+    rows = docs.select(F.struct(*(docs[c] for c in names)).alias("row")).withColumn("text_hash", F.xxhash64(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))))
+    left = rows.join(gone, F.col(f"row.`{id_col}`").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left_anti")
+    if found.where("kept and n > 1").limit(1).count():  # rows that are repeated as they are
+        left = left.withColumn("id", F.col(f"row.`{id_col}`")).dropDuplicates(["id", "text_hash"])
+    return left.select(*(F.col(f"row.`{c}`").alias(c) for c in names))
