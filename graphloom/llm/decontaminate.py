@@ -11,6 +11,7 @@ answer decide, so that paraphrases are found and chance likeness is not.
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import column, stored, texts_of
 
@@ -32,6 +34,8 @@ BLOCK, RANK, SPACES = 256, 160, 8
 #: Least cosine of a candidate; shares of an item's words that a leak must have
 #: in order, without and with the answer check; share of the answer's words.
 COSINE, COPIED, REWORDED, ANSWERED = 0.3, 0.8, 0.65, 0.8
+#: Documents that a stop word has at least.
+COMMON = 64
 #: Shorter items say too little to be told from chance.
 LEAST_WORDS = 5
 
@@ -100,7 +104,10 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarra
 
 
 def weights(total: int, df: np.ndarray) -> np.ndarray:
-    return np.maximum(np.log((total + 1) / (df + 1)), 0.05).astype(np.float32)
+    """Inverse document frequencies; words of more than half of the documents,
+    and of more than COMMON, weigh nothing."""
+    idf = np.maximum(np.log((total + 1) / (df + 1)), 0.05)
+    return np.where(df > max(total / 2, COMMON), 0.0, idf).astype(np.float32)
 
 
 def randomised_svd(a: np.ndarray, rank: int, rounds: int = 2, spare: int = 12) -> np.ndarray:
@@ -151,8 +158,6 @@ def latent_spaces(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, id_co
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "space": [pickle.dumps(space)]})
 
     kind = benchmark.schema[id_col].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     item_type = to_arrow_type(kind)
     rows = benchmark.select(benchmark[id_col].alias("item"), benchmark[text_col].alias("text")).dropDuplicates(["text"])
     passages = stored(rows.mapInArrow(cut, f"item {kind.simpleString()}, words array<bigint>, answer int"), "passages")
@@ -188,6 +193,7 @@ class Finder:
     def __init__(self, spaces: list[dict], idf: np.ndarray, cosine: float = COSINE):
         self.spaces, self.idf, self.cosine = spaces, idf, cosine
         for s in spaces:
+            s["counts"] = [[*Counter(w.tolist()).items()] for w in s["words"]]
             s["masks"] = [(masks_of(w), masks_of(w[len(w) - a :]) if a else {}) for w, a in zip(s["words"], s["answers"])]
 
     def find(self, texts: list[str]) -> list[tuple[int, object, float, float, float]]:
@@ -207,24 +213,35 @@ class Finder:
             at[at == len(space["terms"])] = 0
             known = space["terms"][at] == codes
             inside = np.concatenate(([0.0], np.cumsum(np.where(known, weight, 0).astype(np.float64) ** 2)))
+            known &= weight > 0
             # the cosine is at most the share of a window that the space knows, repeats aside
-            likely = np.flatnonzero(inside[stop] - inside[start] >= 0.25 * self.cosine**2 * whole)
-            for low in range(0, len(likely), 2048):
-                pick = likely[low : low + 2048]
-                spread = np.minimum(start[pick, None] + np.arange(WINDOW), len(codes) - 1)
-                good = known[spread] & (start[pick, None] + np.arange(WINDOW) < stop[pick, None])
+            likely = np.flatnonzero((inside[stop] - inside[start] >= 0.25 * self.cosine**2 * whole) & (whole > 0))
+            for low in range(0, len(likely), 4096):
+                pick = likely[low : low + 4096]
+                # a window is two blocks of STRIDE words; neighbouring windows share one
+                blocks, place = np.unique(np.concatenate((start[pick], np.minimum(start[pick] + STRIDE, stop[pick]))), return_inverse=True)
+                limit = np.zeros(len(blocks), np.int64)
+                limit[place] = np.minimum(np.concatenate((start[pick], start[pick] + STRIDE)) + STRIDE, np.tile(stop[pick], 2))
+                spread = blocks[:, None] + np.arange(STRIDE)
+                good = spread < limit[:, None]
+                spread = np.minimum(spread, len(codes) - 1)
+                good &= known[spread]
                 w, p = np.nonzero(good)
                 token = spread[w, p]
-                vectors = np.zeros((len(pick), space["coordinates"].shape[1]), np.float32)
+                sums = np.zeros((len(blocks), space["coordinates"].shape[1]), np.float32)
                 if len(w):
                     cuts = np.flatnonzero(np.diff(w, prepend=-1))
-                    vectors[w[cuts]] = np.add.reduceat(space["coordinates"][at[token]] * weight[token, None], cuts, axis=0)
+                    sums[w[cuts]] = np.add.reduceat(space["coordinates"][at[token]] * weight[token, None], cuts, axis=0)
+                vectors = sums[place[: len(pick)]] + sums[place[len(pick) :]]
                 likeness = vectors @ space["directions"].T / np.sqrt(np.maximum(whole[pick], 1e-9))[:, None]
                 for i, j in np.argwhere(likeness >= self.cosine).tolist():
                     words, answer, (masks, answer_masks) = space["words"][j], space["answers"][j], space["masks"][j]
                     doc = int(owner[pick[i]])
                     lo = max(int(offsets[doc]), int(start[pick[i]]) - len(words))
                     hi = min(int(offsets[doc + 1]), int(stop[pick[i]]) + len(words))
+                    there = set(codes[lo:hi].tolist())
+                    if sum(n for word, n in space["counts"][j] if word in there) < REWORDED * len(words):
+                        continue  # not even out of order
                     share = common_words(codes[lo:hi], masks, len(words)) / len(words)
                     if share < REWORDED:
                         continue
@@ -262,6 +279,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     together; a null id is reported as null; of equal benchmark texts one is
     reported.  An empty benchmark has no leaks.  Other columns are ignored."""
     kind, item = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    items = to_arrow_type(benchmark.schema["item_id"].dataType)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     out = None
     for shared in finders(rows, benchmark):
@@ -273,11 +291,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 for first, texts in pieces(texts_of(batch, "text")):
                     hits += [(first + d, *rest) for d, *rest in finder.find(texts)]
                 cols = list(zip(*hits)) or [()] * 5
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"item_id": cols[1], "cosine": cols[2], "in_order": cols[3], "answered": cols[4]}), pa.schema([("item_id", items), ("cosine", pa.float64()), ("in_order", pa.float64()), ("answered", pa.float64())]), preserve_index=False).add_column(0, "id", ids.take(pa.array(cols[0], pa.int64())))
-
-        from pyspark.sql.pandas.types import to_arrow_type
+                arrays = [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], items), *(pa.array(c, pa.float64()) for c in cols[2:])]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "item_id", "cosine", "in_order", "answered"])
 
-        items = to_arrow_type(benchmark.schema["item_id"].dataType)
         one = rows.mapInArrow(run, f"id {kind}, item_id {item}, cosine double, in_order double, answered double")
         out = one if out is None else out.union(one)
     if out is None:
