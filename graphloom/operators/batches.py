@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +54,27 @@ def sort_by_index(df: DataFrame, key: str, order: str, missing: int = NO_INDEX)
     return df.orderBy(F.coalesce(key, F.lit(missing)), order)
 
 
+def places(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``place`` from 0 in the given order and ``total``.  Places come
+    from counts per range partition, so that no task sorts everything.  The
+    ranges are kept on disk, as a second deal might draw other bounds."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id").persist(StorageLevel.DISK_ONLY)
+    # a row per partition
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("rows"))
+    sofar = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("rows").over(sofar), F.lit(0)).alias("_before"), F.sum("rows").over(whole).alias("total"))
+    return ranged.join(before, F.col("_part") == F.col("_p")).withColumn("place", F.col("_own") + F.col("_before")).drop("_part", "_own", "_p", "_before")
+
+
 def shards(df: DataFrame, order: str, parts: int) -> DataFrame:
     """``shard`` from 1: contiguous ranges by ``order``, the first ones a row
-    longer.  Positions come from counts per range partition, so that no task
-    sorts everything; parts are at least 1 and at most the rows."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("rows"))
-    before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("rows").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
-    n = F.greatest(F.lit(1), F.least(F.lit(parts).cast("bigint"), F.col("_total")))
-    place, size, extra = F.col("_place") + F.col("_before"), F.floor(F.col("_total") / n), F.col("_total") % n
+    longer; parts are at least 1 and at most the rows."""
+    n = F.greatest(F.lit(1), F.least(F.lit(parts).cast("bigint"), F.col("total")))
+    place, size, extra = F.col("place"), F.floor(F.col("total") / n), F.col("total") % n
     shard = F.when(place < extra * (size + 1), F.floor(place / (size + 1))).otherwise(extra + F.floor((place - extra * (size + 1)) / size))
-    return ranged.join(before, F.col("_part") == F.col("_p")).withColumn("shard", (shard + 1).cast("int")).drop("_id", "_part", "_place", "_p", "_before", "_total")
+    return places(df, order).withColumn("shard", (shard + 1).cast("int")).drop("place", "total")
 
 
 def sidecar_failures(failures: Column, other: Column) -> Column:

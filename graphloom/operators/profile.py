@@ -50,6 +50,12 @@ def cases_by_models(cases: DataFrame, models: list[str], case_ids: list | None =
     return chosen.withColumn("model", F.explode(F.array(*map(F.lit, models))))
 
 
+def selected(cases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cases whose id is asked for; asking for none that exists is an error
+    for the caller to see as an empty result."""
+    return cases.join(wanted.select("id").distinct(), "id", "left_semi")
+
+
 def positional(cases: DataFrame, records: DataFrame) -> DataFrame:
     """Cases with their source record: their own, else the one at position ``id``."""
     at = records.select(F.col("ord").alias("at"), F.col("text").alias("found"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -196,10 +196,10 @@ def shard_assign(spark: SparkSession, d: str) -> DataFrame:
     return batches.shards(table(spark, d, "documents").select("doc_id"), "doc_id", 7).select("doc_id", "shard")
 
 
-@query("SELECT event_id, CAST(row_number() OVER (ORDER BY coalesce(user_id, 1000000000000), event_id) AS INTEGER) AS place FROM (" + E + " SELECT * FROM ev WHERE event_id < 500)")
+@query(E + " SELECT event_id, row_number() OVER (ORDER BY coalesce(user_id, 1000000000000), event_id) - 1 AS place FROM ev")
 def index_sort(spark: SparkSession, d: str) -> DataFrame:
-    rows = batches.sort_by_index(_events(spark, d).where("event_id < 500"), "user_id", "event_id")
-    return rows.select("event_id", F.monotonically_increasing_id().alias("m")).select("event_id", F.row_number().over(Window.orderBy("m")).alias("place"))
+    rows = _events(spark, d).select("event_id", F.coalesce("user_id", F.lit(batches.NO_INDEX)).alias("idx"))
+    return batches.places(rows, "idx", "event_id").select("event_id", "place")
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20 OFFSET 15")
@@ -211,7 +211,7 @@ def _icd(spark: SparkSession, d: str) -> DataFrame:
     """Pages as hierarchy records: every third url also has a release form."""
     pages = table(spark, d, "pages")
     released = F.concat(F.lit("http://x/release/11/mms/"), F.col("page_id").cast("string"))
-    return pages.select(F.col("page_id").alias("ord"), F.when(F.col("page_id") % 3 == 0, released).otherwise(F.col("url")).alias("id"), F.col("page_id").cast("string").alias("code"), F.substring("url", 1, 12).alias("title"), F.when(F.col("page_id") % 2 == 0, "category").alias("classKind"), "url")
+    return pages.select(F.col("page_id").alias("ord"), F.when(F.col("page_id") % 3 == 0, released).otherwise(F.col("url")).alias("id"), F.col("page_id").cast("string").alias("code"), F.col("url").alias("title"), F.when(F.col("page_id") % 2 == 0, "category").alias("classKind"), "url")
 
 
 @query("""WITH e AS (SELECT page_id AS ord, CASE WHEN page_id % 3 = 0 THEN 'http://x/release/11/mms/' || page_id ELSE url END AS id, CAST(page_id AS VARCHAR) AS code FROM pages),
@@ -235,14 +235,14 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS code, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS title FROM documents WHERE doc_id % 10 <> 9),
-s AS (SELECT doc_id AS id, 's' || quality AS code, '' AS title FROM labels), l AS (SELECT item_id AS id, 'l' AS code, substr(text, 1, 10) AS title FROM benchmark)
+s AS (SELECT doc_id AS id, 's' || quality AS code, '' AS title FROM labels), l AS (SELECT item_id AS id, 'l' AS code, text AS title FROM benchmark)
 SELECT CAST(id AS VARCHAR) AS source_id, coalesce(nullif(m.code, ''), nullif(s.code, ''), l.code, '') AS code, coalesce(nullif(m.title, ''), nullif(s.title, ''), l.title, '') AS title, s.id IS NOT NULL AS structure, l.id IS NOT NULL AS long_text
 FROM m FULL JOIN s USING (id) FULL JOIN l USING (id)""")
 def twopass_headers(spark: SparkSession, d: str) -> DataFrame:
     doc, label, item = table(spark, d, "documents"), table(spark, d, "labels"), table(spark, d, "benchmark")
     listed = doc.where("doc_id % 10 <> 9").select(F.col("doc_id").cast("string").alias("source_id"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("code"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise("").alias("title"))
     structure = label.select(F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("s"), F.col("quality").cast("string")).alias("code"), F.lit("").alias("title"))
-    long_text = item.select(F.col("item_id").cast("string").alias("source_id"), F.lit("l").alias("code"), F.substring("text", 1, 10).alias("title"))
+    long_text = item.select(F.col("item_id").cast("string").alias("source_id"), F.lit("l").alias("code"), F.col("text").alias("title"))
     return twopass.merge_headers(listed, {"structure": structure, "long_text": long_text})
 
 
@@ -322,16 +322,22 @@ def model_profile_wide(spark: SparkSession, d: str) -> DataFrame:
     return _profiled(profile.long_form(wide).join(counts, "id"))
 
 
-@query("SELECT doc_id AS id, model FROM labels, (SELECT unnest(['base', 'specific']) AS model) WHERE doc_id IN (1, 10, 18, 32, 149)")
+@query("SELECT doc_id AS id, model FROM labels, (SELECT unnest(['base', 'specific']) AS model)")
 def case_model_cross(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
-    return profile.cases_by_models(cases, ["base", "specific"], [1, 10, 18, 32, 149], {"base", "specific", "standard"})
+    return profile.cases_by_models(cases, ["base", "specific"], None, {"base", "specific", "standard"})
 
 
-@query("SELECT item_id AS id, CASE WHEN item_id % 4 = 0 THEN 'own' ELSE substr(d.text, 1, 20) END AS text FROM benchmark LEFT JOIN documents d ON d.doc_id = item_id")
+@query("SELECT doc_id AS id FROM labels WHERE doc_id IN (SELECT item_id FROM benchmark)")
+def case_selection(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "benchmark").select(F.col("item_id").alias("id"))
+    return profile.selected(table(spark, d, "labels").select(F.col("doc_id").alias("id")), wanted)
+
+
+@query("SELECT item_id AS id, CASE WHEN item_id % 4 = 0 THEN 'own' ELSE d.text END AS text FROM benchmark LEFT JOIN documents d ON d.doc_id = item_id")
 def positional_lookup(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 4 == 0, "own").alias("source_text"))
-    records = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.substring("text", 1, 20).alias("text"))
+    records = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
     return profile.positional(cases, records).select("id", "text")
 
 

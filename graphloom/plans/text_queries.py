@@ -80,17 +80,17 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_index", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query("SELECT doc_id, concat_ws(chr(10), nullif(lang, ''), nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), nullif(substr(text, 1, 40), '')) AS joined FROM documents")
+@query("SELECT doc_id, concat_ws(chr(10), nullif(lang, ''), nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), nullif(text, '')) AS joined FROM documents")
 def field_concat(spark: SparkSession, d: str) -> DataFrame:
-    fields = F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.substring("text", 1, 40)
+    fields = F.col("lang"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.col("text")
     return table(spark, d, "documents").select("doc_id", t.concat_fields(*fields).alias("joined"))
 
 
-@query("""SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(source, ''), nullif(substr(text, 1, 30), ''), CASE WHEN doc_id % 3 = 0 THEN lang END,
+@query("""SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(source, ''), nullif(text, ''), CASE WHEN doc_id % 3 = 0 THEN lang END,
   CASE WHEN doc_id % 2 = 0 THEN 'Narrower terms: ["' || lang || '", "' || source || '"]' END) AS joined FROM documents""")
 def labelled_concat(spark: SparkSession, d: str) -> DataFrame:
     narrower = F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
-    return table(spark, d, "documents").select("doc_id", t.labelled_text(F.col("source"), F.substring("text", 1, 30), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(""), narrower).alias("joined"))
+    return table(spark, d, "documents").select("doc_id", t.labelled_text(F.col("source"), F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(""), narrower).alias("joined"))
 
 
 @query(f"SELECT doc_id, length(text) >= {LEAST} AS long_enough, {_strip('text')} <> '' AS not_blank FROM documents")
@@ -127,10 +127,10 @@ def id_scoping(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE lower(role) END AS role,
-  replace(replace('<thinking>' || substr(text, 1, 20) || '</thinking><Thinking>', '<thinking>', '<think>'), '</thinking>', '</think>') AS content FROM conversations""")
+  replace(replace('<thinking>' || text || '</thinking><Thinking>', '<thinking>', '<think>'), '</thinking>', '</think>') AS content FROM conversations""")
 def role_and_tags(spark: SparkSession, d: str) -> DataFrame:
     role = F.when(F.col("turn") % 3 == 0, " Human").when(F.col("turn") % 3 == 1, "GPT ").otherwise(F.upper("role"))
-    content = F.concat(F.lit("<thinking>"), F.substring("text", 1, 20), F.lit("</thinking><Thinking>"))
+    content = F.concat(F.lit("<thinking>"), F.col("text"), F.lit("</thinking><Thinking>"))
     return table(spark, d, "conversations").select("conv_id", "turn", t.normalize_role(role).alias("role"), t.rewrite_think_tags(content).alias("content"))
 
 
