@@ -30,7 +30,7 @@ LENGTH, GRAM = 50, 20
 #: Text bytes of a batch of documents; a longer document is a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Batches per partition of buckets; window positions that are sorted at a time.
-BATCHES_PER_PART, BLOCK_WINDOWS = 6, 1 << 20
+BATCHES_PER_PART, BLOCK_WINDOWS = 3, 1 << 18
 #: Bytes that are compared before the cover sample decides, and the cover: every
 #: difference modulo 7 is one of two members of {0, 1, 3}.
 PREFIX, PERIOD, COVER = 24, 7, (0, 1, 3)
@@ -251,6 +251,51 @@ def unpack_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.cumsum(sizes) - sizes
 
 
+def count_keys(table: pa.Table) -> pa.Table:
+    """For each batch, which of its keys of a part another document has."""
+    blobs, own = table.column("keys").to_pylist(), table.column("shared").to_pylist()
+    sizes = [len(b) // 6 for b in blobs]
+    raw = np.zeros((sum(sizes), 8), np.uint8)
+    raw[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    all_ = raw.view(np.uint64).ravel()
+    shared = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(own, sizes)]).astype(bool)
+    order = np.argsort(all_)
+    sorted_ = all_[order]
+    new = np.append(True, sorted_[1:] != sorted_[:-1])
+    cuts = np.flatnonzero(new)
+    many = np.logical_or.reduceat(shared[order], cuts) | (np.diff(np.append(cuts, len(order))) > 1)
+    flags = np.empty(len(order), bool)
+    flags[order] = many[np.cumsum(new) - 1]
+    bits = [np.packbits(f).tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
+    return pa.table({"batch": table.column("batch"), "part": table.column("part"), "bits": pa.array(bits, pa.binary())})
+
+
+def sort_part(table: pa.Table) -> pa.Table:
+    """For each batch, the smallest documents of the windows of its stretches."""
+    seen: dict[bytes, int] = {}
+    numbers: list[np.ndarray] = []
+    least: list[np.ndarray] = []
+    for blob in table.column("stretches"):
+        texts, docs_ = unpack_stretches(blob.as_py())
+        numbers.append(np.array([seen.setdefault(t, len(seen)) for t in texts], np.int64))
+        least.append(docs_)
+    low = np.full(len(seen), NEVER, np.int64)
+    np.minimum.at(low, np.concatenate(numbers), np.concatenate(least))
+    pieces = list(seen)
+    # one block of buckets at a time: equal windows have equal keys, so blocks are ranges of a hash of the key
+    own = bucket_keys(np.frombuffer(b"".join([p[:LENGTH] for p in pieces]), np.uint8))[::LENGTH]
+    windows = np.fromiter(map(len, pieces), np.int64, len(pieces)) - LENGTH + 1
+    blocks = max(1, int(windows.sum()) // BLOCK_WINDOWS)
+    block = (own * _MIX >> np.uint64(33)) % np.uint64(blocks)
+    answers: list[np.ndarray] = [None] * len(pieces)
+    order = np.argsort(block, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        for i, answer in zip(mine.tolist(), smallest_documents([pieces[i] for i in mine.tolist()], low[mine])):
+            answers[i] = answer
+    runs = [pack_runs([answers[i] for i in n.tolist()]) for n in numbers]
+    return pa.table({"batch": table.column("batch"), "part": table.column("part"), "runs": pa.array(runs, pa.binary())})
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Remove each byte of a text's UTF-8 form that a 50-byte string covers which
     also starts in a document with a smaller id; overlaps count, and strings are
@@ -311,24 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols = list(zip(*out)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["part", "batch", "keys", "shared"])
 
-    def count(table: pa.Table) -> pa.Table:
-        blobs, own = table.column("keys").to_pylist(), table.column("shared").to_pylist()
-        sizes = [len(b) // 6 for b in blobs]
-        raw = np.zeros((sum(sizes), 8), np.uint8)
-        raw[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-        all_ = raw.view(np.uint64).ravel()
-        shared = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(own, sizes)]).astype(bool)
-        order = np.argsort(all_)
-        sorted_ = all_[order]
-        new = np.append(True, sorted_[1:] != sorted_[:-1])
-        cuts = np.flatnonzero(new)
-        many = np.logical_or.reduceat(shared[order], cuts) | (np.diff(np.append(cuts, len(order))) > 1)
-        flags = np.empty(len(order), bool)
-        flags[order] = many[np.cumsum(new) - 1]
-        bits = [np.packbits(f).tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
-        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "bits": pa.array(bits, pa.binary())})
-
-    hits = batches.mapInArrow(keys, "part int, batch bigint, keys binary, shared binary").groupBy("part").applyInArrow(count, "batch bigint, part int, bits binary")
+    hits = batches.mapInArrow(keys, "part int, batch bigint, keys binary, shared binary").groupBy("part").applyInArrow(count_keys, "batch bigint, part int, bits binary")
     hits = stored(hits, "suffix-hits")
 
     def repeated(left: pa.Table, right: pa.Table) -> tuple[Batch, np.ndarray]:
@@ -342,55 +370,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         number = left.column("batch")[0].as_py()
         return pa.table({"part": pa.array(order, pa.int32()), "batch": pa.array([number] * len(order), pa.int64()), "stretches": pa.array([pack_stretches(texts[p], least[p]) for p in order], pa.binary())})
 
-    def sort(table: pa.Table) -> pa.Table:
-        seen: dict[bytes, int] = {}
-        numbers: list[np.ndarray] = []
-        least: list[np.ndarray] = []
-        for blob in table.column("stretches"):
-            texts, docs_ = unpack_stretches(blob.as_py())
-            numbers.append(np.array([seen.setdefault(t, len(seen)) for t in texts], np.int64))
-            least.append(docs_)
-        low = np.full(len(seen), NEVER, np.int64)
-        np.minimum.at(low, np.concatenate(numbers), np.concatenate(least))
-        pieces = list(seen)
-        # one block of buckets at a time: equal windows have equal keys, so blocks are ranges of a hash of the key
-        own = np.array([stretch_key(p) for p in pieces], np.uint64)
-        windows = np.fromiter(map(len, pieces), np.int64, len(pieces)) - LENGTH + 1
-        blocks = max(1, int(windows.sum()) // BLOCK_WINDOWS)
-        block = (own * _MIX >> np.uint64(33)) % np.uint64(blocks)
-        answers: list[np.ndarray] = [None] * len(pieces)
-        order = np.argsort(block, kind="stable")
-        for mine in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            for i, answer in zip(mine.tolist(), smallest_documents([pieces[i] for i in mine.tolist()], low[mine])):
-                answers[i] = answer
-        runs = [pack_runs([answers[i] for i in n.tolist()]) for n in numbers]
-        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "runs": pa.array(runs, pa.binary())})
-
     sent = batches.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(send, "part int, batch bigint, stretches binary")
-    answers = stored(sent.groupBy("part").applyInArrow(sort, "batch bigint, part int, runs binary"), "suffix-answers")
+    answers = stored(sent.groupBy("part").applyInArrow(sort_part, "batch bigint, part int, runs binary"), "suffix-answers")
 
     def finish(left: pa.Table, right: pa.Table, ids: pa.Table) -> pa.Table:
         batch, which = repeated(left, right)
         _, _, places = batch.stretches(which)
         runs = {p.as_py(): unpack_runs(r.as_py()) for p, r in zip(ids.column("part"), ids.column("runs")) if p.is_valid}
-        cover = np.zeros(len(batch.data) + 1, np.int32)
-        own = batch.ids[batch.doc[which]].tolist()
-        for (part, n), s, w, mine in zip(places, batch.cut[which].tolist(), batch.windows[which].tolist(), own):
-            flat, starts = runs[part]
-            o = int(starts[n])
-            gone = flat[o : o + w] < mine
-            if gone.any():
-                edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                cover[s + edge[0::2]] += 1
-                np.subtract.at(cover, s + edge[1::2] + LENGTH - 1, 1)
-        covered = np.cumsum(cover[:-1]) > 0
+        # all windows of the stretches at once: where each starts, and who has it first
+        bases, flats, total = {}, [], 0
+        for part, (flat, starts) in runs.items():
+            bases[part] = starts + total
+            flats.append(flat)
+            total += len(flat)
+        begins = np.zeros(len(batch.data) + 1, bool)
+        if len(which):
+            answers_at = np.fromiter((bases[part][n] for part, n in places), np.int64, len(places))
+            windows = batch.windows[which]
+            owner = np.repeat(np.arange(len(which)), windows)
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+            gone = np.concatenate(flats)[answers_at[owner] + step] < batch.ids[batch.doc[which]][owner]
+            begins[(batch.cut[which][owner] + step)[gone]] = True
+        upto = np.cumsum(begins[:-1])
+        covered = upto > 0
+        covered[LENGTH:] = upto[LENGTH:] > upto[:-LENGTH]
+        any_ = np.concatenate(([0], np.cumsum(covered)))
         raw = np.frombuffer(batch.data, np.uint8)
         out: dict[str, list] = {n: [] for n in names}
         for i, s, n in zip(batch.ids.tolist(), batch.starts.tolist(), batch.sizes.tolist()):
-            c = covered[s : s + n]
-            edge = np.flatnonzero(np.diff(c, prepend=False, append=False))
-            kept = raw[s : s + n][~c].tobytes() if len(edge) else batch.data[s : s + n]
-            values = (None if i == NEVER else i, n, int(c.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())] if with_text else None, kept if with_text else None)
+            lost = int(any_[s + n] - any_[s])
+            if lost:
+                c = covered[s : s + n]
+                edge = np.flatnonzero(np.diff(c, prepend=False, append=False))
+                kept = raw[s : s + n][~c].tobytes()
+            else:
+                edge, kept = np.zeros(0, np.int64), batch.data[s : s + n]
+            values = (None if i == NEVER else i, n, lost, len(edge) // 2, hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())] if with_text else None, kept if with_text else None)
             for name_, v in zip(names, values):
                 out[name_].append(v)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
@@ -407,8 +422,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     result = batches.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(ending, schema)
     return result.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *(names[1:]))
-
-
-def stretch_key(piece: bytes) -> int:
-    """The bucket key of a stretch, from its first window."""
-    return int(bucket_keys(np.frombuffer(piece[:LENGTH], np.uint8))[0])
