@@ -31,7 +31,7 @@ INNER_SPACE = re.compile(r"\s \s|\s $")
 #: Marks keys of chunks that no space precedes; no valid text holds it.
 BARE = "\ud800"
 #: Chunks that a worker keeps before it starts its table anew.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 500_000
 
 
 def byte_alphabet() -> list[str]:
