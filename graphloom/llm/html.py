@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
 
 import pandas as pd
@@ -312,15 +313,24 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts:
     wrappers of tasks in salted groups, so that a hot host is no single task's."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[list]] = {}
+        found: dict[str, dict[str, list[list]]] = {}  # host, shape of a page, stream
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            wrappers = {host: reduce(align, streams.values()) for host, streams in found.items()}
+            return pa.RecordBatch.from_arrays([pa.array(wrappers.keys(), pa.string()), pa.array(map(json.dumps, wrappers.values()), pa.string())], ["host", "stream"])
+
         for batch in batches:
             for host, html in zip(column(batch, "host").to_pylist(), column(batch, "html")):
                 stream = stream_of(html.as_py())
-                found[host] = align(found[host], stream) if host in found else stream
-            if len(found) > 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(map(json.dumps, found.values()), pa.string())], ["host", "stream"])
-                found = {}
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(map(json.dumps, found.values()), pa.string())], ["host", "stream"])
+                # pages of one shape are united at once and aligned as one
+                key, same = "".join(map(shape, stream)), found.setdefault(host, {})
+                held += key not in same
+                same[key] = align(same[key], stream) if key in same else stream
+                if held > 5000:
+                    yield out()
+                    found, held = {}, 0
+        yield out()
 
     def merged(pdf: pd.DataFrame) -> list[list]:
         # sorted, so that the result does not depend on the order of arrival
