@@ -10,13 +10,13 @@ bytes of its members vary, however many documents there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, column, connected_components, stored
@@ -93,8 +93,9 @@ class BkTree:
         return new
 
 
-def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints."""
+def forest(values: list[int], radius: int, holds: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among fingerprints; with ``holds``, of
+    those links only for which it is true of the two places."""
     tree, root, links = BkTree(), list(range(len(values))), []
 
     def top(x: int) -> int:
@@ -106,7 +107,7 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     for i, v in enumerate(values):
         for j in tree.search(v, radius):
             a, b = top(i), top(j)
-            if a != b:
+            if a != b and (holds is None or holds(i, j)):
                 root[a] = b
                 links.append((i, j))
         tree.add(v)
@@ -172,23 +173,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(classes, "fp", "left").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component_id").cast(docs.schema[id_col].dataType))
 
 
-# Near-duplicate documents at a similarity of 0.8, for filtering a corpus.
-# Fingerprints have 256 bits here, over five-word shingles: texts with a Jaccard
-# similarity of 0.8 differ in 39 of them on average (standard deviation 6).  At
-# such a radius no choice of equal bytes helps, so shards are named by bands of
-# four minimum hashes; a pair at 0.8 misses all 18 bands once in 13,000.
+# Near-duplicate documents at a Jaccard similarity of 0.8 or more, for filtering
+# a corpus.  Candidates come from 256-bit fingerprints of the distinct five-word
+# shingles: texts at 0.8 differ in 39 bits on average (standard deviation 6), at
+# most in 48 where they have few shingles.  At such a radius no choice of equal
+# bytes helps, so shards are named by bands of four minimum hashes; a pair at 0.8
+# misses all 18 bands once in 13,000.  Every link is then verified on the sets of
+# shingles themselves (their 64-bit hashes), before classes are made.
 
 WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS = 5, 256, 46
+#: Differing bits of a candidate: four standard deviations over the mean at 0.8.
+CANDIDATE_RADIUS = 72
 BANDS, BAND_ROWS = 18, 4
-#: Members of a shard that one BK-tree holds; larger shards are dealt to cells of two slices.
-SHARD = 2000
+#: Members and shingles of a shard that one BK-tree holds; larger shards are dealt to cells of two slices.
+SHARD, SHARD_SHINGLES = 2000, 1 << 21
 
 _SEEDS = np.random.default_rng(42).integers(1, 2**63, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
 _SPREAD = np.random.default_rng(43).integers(1, 2**63, WIDE_BITS // 64, np.uint64) | np.uint64(1)
 
 
-def wide_fingerprint(text: bytes) -> tuple[bytes, np.ndarray]:
-    """The 256-bit SimHash of a text, and the 18 keys of its bands."""
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted distinct XXH64 of a text's five-word shingles; a shorter text is one."""
     words = text.lower().split()
     line, size = b" ".join(words), WIDE_SHINGLE
     if len(words) <= size:
@@ -198,7 +203,23 @@ def wide_fingerprint(text: bytes) -> tuple[bytes, np.ndarray]:
         starts = np.concatenate(([0], stops[:-size])).tolist()
         shingles = [line[s:e] for s, e in zip(starts, (stops[size - 1 :] - 1).tolist())]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    return np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 0.8 or more."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 5 * common >= 4 * (len(both) - common)
+
+
+def wide_fingerprint(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The 256-bit SimHash of a text, and the 18 keys of its bands."""
+    h = shingle_set(text)
+    digest = xxhash.xxh64_intdigest
     ones = np.zeros(WIDE_BITS, np.int64)
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for low in range(0, len(h), 8192):
@@ -213,52 +234,86 @@ def wide_fingerprint(text: bytes) -> tuple[bytes, np.ndarray]:
     return np.packbits(2 * ones > len(h)).tobytes(), np.array(keys, np.uint64).view(np.int64)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
+def in_shards(shards: DataFrame, joined: Callable[[list[list]], pa.RecordBatch], names: tuple[str, ...]) -> DataFrame:
+    """``(u, v)`` that ``joined`` gives for whole shards (``key``, ``a``, ``b``): it
+    gets a list of the shards and one of each column of ``names``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[list] = [[] for _ in range(len(names) + 1)]
+        for batch in batches:
+            keys = list(zip(*(column(batch, c).to_pylist() for c in ("key", "a", "b"))))
+            cols = [r + c for r, c in zip(rest, (keys, *(column(batch, c).to_pylist() for c in names)))]
+            last = len(cols[0])
+            while last and cols[0][last - 1] == cols[0][-1]:  # the last shard may go on in the next batch
+                last -= 1
+            yield joined([c[:last] for c in cols])
+            rest = [c[last:] for c in cols]
+        yield joined(rest)
+
+    return shards.select("key", "a", "b", *names).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def cells(spread: DataFrame, slices: Column) -> DataFrame:
+    """``spread`` with ``a`` and ``b``: shards of more than one of ``slices`` (an
+    aggregate over a shard) are dealt to cells, one for every two slices."""
+    large = spread.groupBy("key").agg(slices.cast("bigint").alias("slices")).where("slices > 1").select(F.col("key").alias("k2"), "slices")
+    dealt = spread.join(large, F.col("key") == F.col("k2"), "left").withColumn("mine", F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("node"), F.col("slices"))))
+    out = dealt.withColumn("other", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))))
+    return out.withColumn("a", F.coalesce(F.least("mine", "other"), F.lit(0))).withColumn("b", F.coalesce(F.greatest("mine", "other"), F.lit(0)))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = CANDIDATE_RADIUS) -> DataFrame:
     """``(id, text_hash, n, kept)`` per distinct id and text: in how many rows it
     occurs, and whether it stands for its class of copies and near copies (the
-    smallest id does, null ids last)."""
+    smallest id does, null ids last).  Classes are chains of pairs whose sets of
+    shingles have a Jaccard similarity of 0.8 or more.
+
+    Shards of the bands give candidate links of at most ``radius`` bits.  What
+    they connect is one shard of the second pass, which has the sets, so that a
+    text's set travels once and only if the text has a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [wide_fingerprint(t) for t in bytes_of(batch)]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), pa.array([f for f, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["id", "text_hash", "wide", "keys"])
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = [shingle_set(t) for t in bytes_of(part)]
+                yield pa.RecordBatch.from_arrays([column(part, "key"), column(part, "node"), column(part, "wide"), pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["key", "node", "wide", "size", "shingles"])
+
+    def linked(cols: list[list]) -> pa.RecordBatch:
+        u: list[int] = []
+        v: list[int] = []
+        keys, nodes, wides, *rest = cols
+        s = 0
+        for e in [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]:
+            if e - s > 1:
+                holds = None
+                if rest:
+                    own = [np.frombuffer(x, np.uint64) for x in rest[0][s:e]]
+                    holds = lambda i, j, own=own: similar(own[i], own[j])
+                for i, j in forest([int.from_bytes(w, "big") for w in wides[s:e]], radius, holds):
+                    u.append(nodes[s + i])
+                    v.append(nodes[s + j])
+            s = e
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     scanned = stored(rows.mapInArrow(run, f"id {kind}, text_hash bigint, wide binary, keys array<bigint>"), "near-scan")
     texts = scanned.select("text_hash", "wide", "keys").dropDuplicates(["text_hash"])
     spread = stored(texts.select(F.explode("keys").alias("key"), F.col("text_hash").alias("node"), "wide"), "near-spread")
-    large = spread.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SHARD).select(F.col("key").alias("k2"), F.ceil(F.col("size") / SHARD).alias("slices"))
-    dealt = spread.join(large, F.col("key") == F.col("k2"), "left").withColumn("mine", F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("node"), F.col("slices"))))
-    cells = dealt.withColumn("other", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))))
-    cells = cells.select("key", F.coalesce(F.least("mine", "other"), F.lit(0)).alias("a"), F.coalesce(F.greatest("mine", "other"), F.lit(0)).alias("b"), "node", "wide")
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(cols: list[list]) -> pa.RecordBatch:
-            u: list[int] = []
-            v: list[int] = []
-            keys, nodes, wides = cols
-            s = 0
-            for e in [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]:
-                if e - s > 1:
-                    for i, j in forest([int.from_bytes(w, "big") for w in wides[s:e]], radius):
-                        u.append(nodes[s + i])
-                        v.append(nodes[s + j])
-                s = e
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        rest: list[list] = [[], [], []]
-        for batch in batches:
-            keys = list(zip(*(column(batch, c).to_pylist() for c in ("key", "a", "b"))))
-            cols = [r + c for r, c in zip(rest, (keys, column(batch, "node").to_pylist(), column(batch, "wide").to_pylist()))]
-            last = len(cols[0])
-            while last and cols[0][last - 1] == cols[0][-1]:  # the last shard may go on in the next batch
-                last -= 1
-            yield joined([c[:last] for c in cols])
-            rest = [c[last:] for c in cols]
-        yield joined(rest)
-
-    edges = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(linked, "u bigint, v bigint")
+    candidates = connected_components(in_shards(cells(spread, F.ceil(F.count("*") / SHARD)), linked, ("node", "wide")), "near-candidates")
+    # the smallest member of what candidates connect is no node of theirs
+    named = stored(candidates.select("node", F.col("root").alias("key")).union(candidates.select("root", "root")).distinct(), "near-named")
+    wanted = named.join(texts.select(F.col("text_hash").alias("h2"), "wide"), F.col("node") == F.col("h2")).select("key", "node", "wide")
+    held = rows.dropDuplicates(["text_hash"]).join(wanted, F.col("text_hash") == F.col("node")).select("key", "node", "wide", "text")
+    found = held.mapInArrow(sets, "key bigint, node bigint, wide binary, size bigint, shingles binary")
+    sized = stored(found, "near-sets")
+    edges = in_shards(cells(sized, F.ceil(F.greatest(F.count("*") / SHARD, F.sum("size") / SHARD_SHINGLES))), linked, ("node", "wide", "shingles"))
     roots = connected_components(edges, "near-cc")
     members = scanned.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
     classes = members.join(roots, F.col("text_hash") == F.col("node"), "left").withColumn("root", F.coalesce("root", "text_hash")).select("id", "text_hash", "n", "root")

@@ -90,3 +90,49 @@ def test_odd_rows_through_every_stage(spark):
             assert out.count() <= df.count()
             if name != pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
+
+
+def test_near_copies_are_those_of_brute_force_jaccard(spark):
+    """A family of revised texts on both sides of 0.8: bits alone lose some pairs
+    at 0.8 and link some below it."""
+    rng = np.random.default_rng(5)
+    rows, n = [], 0
+    for family in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(40, 300)))]
+        for share in (0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.05):
+            words = [f"e{rng.integers(10**6)}" if rng.random() < share * 1.5 else w for w in base]
+            rows.append((n, " ".join(words) + f" tail{family}" * (family % 3) * 40))
+            n += 1
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i // 8 * 8, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    got = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [i for i in sets if top(i) == i]
+
+
+def test_near_copies_of_the_table_are_those_of_brute_force_jaccard(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert sorted(r.doc_id for r in simhash.without_near_copies(docs).collect()) == sorted(i for i in sets if top(i) == i)
