@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import column, drop_stored, stored
 
-#: Messages of a conversation that one row holds; longer ones come in parts of so many turns.
+#: Messages of a conversation that one row holds; longer ones come in parts of so many.
 PART = 1024
 QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 #: A line that introduces a quotation, as mail programs write it.
@@ -110,14 +110,30 @@ def threads(links: DataFrame, label: str = "chat-roots") -> DataFrame:
             return now
 
 
+def positions(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``place``: the number of a message in its conversation by
+    thread, turn, role, text and parent.  Ranges of the order are sorted by
+    themselves, and begin where the ones before them end."""
+    order = ["conv", "thread", "turn", "role", "body", "parent"]
+    # a range is named by the beginnings of texts only, which the driver samples
+    ranged = rows.withColumn("begin", F.substring("body", 1, 32)).repartitionByRange("conv", "thread", "turn", "role", "begin").drop("begin").sortWithinPartitions(*order)
+    numbered = stored(ranged.withColumn("range", F.spark_partition_id()).withColumn("number", F.monotonically_increasing_id()), "chat-order")
+    sizes = numbered.groupBy("conv", "range").agg(F.count("*").alias("n"), F.min("number").alias("first"))
+    before = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("conv").alias("c4"), F.col("range").alias("r4"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))  # a row per conversation and range
+    joined = numbered.join(starts, F.col("conv").eqNullSafe(F.col("c4")) & (F.col("range") == F.col("r4")))
+    return joined.withColumn("place", F.col("number") - F.col("first") + F.col("ahead")).select(*rows.columns, "place")
+
+
 def conversations(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
     """One row per conversation: ``conv_id, part, n_messages, n_quotes, n_linked,
     depth, turns, parents, chat``.
 
     Messages come thread by thread, a thread where its first message stands and
     in the order of turns, so every reply follows what it answers.  A
-    conversation of more than ``part`` messages comes in parts of that many
-    consecutive turns, which bounds a row.  Null texts are empty messages, null
+    conversation of more than ``part`` messages comes in parts of that many in
+    this order, which bounds a row: the parts one after another are the whole.
+    Null texts are empty messages, null
     roles an empty role; messages without a turn stand first and answer
     nothing; null conversation ids are one conversation; repeated rows stay;
     other columns are ignored."""
@@ -125,7 +141,11 @@ def conversations(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     links = threads(replies(parsed)).select(F.col("conv").alias("c2"), F.col("turn").alias("t2"), "parent", "root")
     whole = parsed.groupBy("conv").agg(F.count("*").alias("size")).where(F.col("size") > part).select(F.col("conv").alias("c3"), F.lit(True).alias("long"))
     rows = parsed.join(links, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("turn") == F.col("t2")), "left").join(whole, F.col("conv").eqNullSafe(F.col("c3")), "left")
-    rows = rows.withColumn("part", F.when(F.col("long"), F.floor(F.coalesce("turn", F.lit(0)) / part)).otherwise(0).cast("bigint")).withColumn("thread", F.coalesce("root", "turn"))
+    rows = rows.withColumn("thread", F.coalesce("root", "turn")).select("conv", "turn", "role", "body", "n_quotes", "depth", "parent", "thread", "long")
+    rows = stored(rows, "chat-rows")
+    short = rows.where("long is null").withColumn("part", F.lit(0).cast("bigint"))
+    longer = positions(rows.where("long")).withColumn("part", F.floor(F.col("place") / part).cast("bigint")).drop("place")
+    rows = short.unionByName(longer)
     grouped = rows.groupBy("conv", "part").agg(
         F.count("*").alias("n_messages"),
         F.sum("n_quotes").alias("n_quotes"),

@@ -196,3 +196,19 @@ def test_plain_conversations(spark):
     for r in df.orderBy("conv_id", "turn").collect():
         want[r.conv_id].append(f"<|{r.role}|>\n{r.text}\n<|end|>\n")
     assert {r.conv_id: r.chat for r in rows} == {k: "".join(v) for k, v in want.items()}
+
+
+def test_parts_one_after_another_are_the_whole_conversation(spark):
+    rows = [(c, t * 1000, "user", f"> line {t - 20} of {c}\nline {t} of {c}" if t % 3 == 0 else f"line {t} of {c}") for c in (1, 2, None) for t in range(60)]
+    rows += [(1, None, "user", f"no turn {n % 9}") for n in range(30)] + [(1, 5000, "bot", f"again {n % 7}") for n in range(30)] + [(3, 0, "user", "short")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.conv_id: r for r in chat.conversations(df, part=1000).collect()}
+    parts = defaultdict(list)
+    for r in chat.conversations(df, part=8).orderBy("part").collect():
+        parts[r.conv_id].append(r)
+    assert set(parts) == set(whole) and any(p is not None and t < 40_000 for t, p in zip(whole[2].turns, whole[2].parents))
+    for c, found in parts.items():
+        assert [r.part for r in found] == list(range(len(found))) and all(r.n_messages == 8 for r in found[:-1])
+        assert "".join(r.chat for r in found) == whole[c].chat
+        assert [t for r in found for t in r.turns] == whole[c].turns and [p for r in found for p in r.parents] == whole[c].parents
+        assert sum(r.n_linked for r in found) == whole[c].n_linked
