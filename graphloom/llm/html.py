@@ -246,10 +246,20 @@ def noisy(path: str) -> bool:
     return False
 
 
+def content(path: str) -> bool:
+    """Whether the path leads through an article or main element, and no noise."""
+    return any(s.split(".")[0] in CONTENT_TAGS for s in path.split("/")) and not noisy(path)
+
+
+def marked(elements: list[list]) -> bool:
+    """Whether a stream has text under an article or main element."""
+    return any(content(e[4]) if e[0] == "S" else e[0] in "RO" and marked(e[1]) for e in elements)
+
+
 def label(wrapper: list[list]) -> dict[str, bool]:
     """For each path of the wrapper's slots, whether it holds article text.
 
-    Slots under an article or main element do, noise aside.  A host without
+    Slots under an article or main element do, noise aside.  A wrapper without
     such an element is read by mass: the deepest container that holds four
     fifths of the open text, template text aside."""
     mass: dict[str, list[int]] = {}  # path -> [open characters, characters]
@@ -282,11 +292,16 @@ def label(wrapper: list[list]) -> dict[str, bool]:
     return {p: p in marked for p in mass}
 
 
-def main_text(html: str, labels: dict[str, bool]) -> str:
-    """The text under paths that are labelled so, a line per block."""
+def main_text(html: str, of_marked: dict[str, bool], of_others: dict[str, bool]) -> str:
+    """The text under paths that are labelled so, a line per block.  The labels
+    are those of the host's pages that mark an article, if this one does, or of
+    the others."""
     blocks: list[list[str]] = []
     good, fresh = False, True
-    for path, raw, cut in Walk(html).texts():
+    texts = list(Walk(html).texts())
+    # slots under content paths are the only ones with a label that is true in marked pages
+    labels = of_marked if any(of_marked.get(path) and unescape(raw).split() for path, raw, _ in texts) else of_others
+    for path, raw, cut in texts:
         if path not in labels:  # a path of white space only
             labels[path] = False
         good = labels[path]
@@ -308,23 +323,24 @@ def host_of(url: Column) -> Column:
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 16) -> DataFrame:
-    """``(host, wrapper, labels)``: per host its expression and, as JSON, the
-    label of each path.  Every page is aligned: first within a task, then the
+    """``(host, marked, wrapper, labels)``: per host, for its pages that mark an
+    article and for those that do not, the expression and, as JSON, the label of
+    each path.  Every page is aligned: first within a task, then the
     wrappers of tasks in salted groups, so that a hot host is no single task's."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, dict[str, list[list]]] = {}  # host, shape of a page, stream
+        found: dict[tuple[str, bool], dict[str, list[list]]] = {}  # host and marked, shape of a page, stream
         held = 0
 
         def out() -> pa.RecordBatch:
-            wrappers = {host: reduce(align, streams.values()) for host, streams in found.items()}
-            return pa.RecordBatch.from_arrays([pa.array(wrappers.keys(), pa.string()), pa.array(map(json.dumps, wrappers.values()), pa.string())], ["host", "stream"])
+            wrappers = {key: reduce(align, streams.values()) for key, streams in found.items()}
+            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in wrappers], pa.string()), pa.array([m for _, m in wrappers], pa.bool_()), pa.array(map(json.dumps, wrappers.values()), pa.string())], ["host", "marked", "stream"])
 
         for batch in batches:
             for host, html in zip(column(batch, "host").to_pylist(), column(batch, "html")):
                 stream = stream_of(html.as_py())
                 # pages of one shape are united at once and aligned as one
-                key, same = "".join(map(shape, stream)), found.setdefault(host, {})
+                key, same = "".join(map(shape, stream)), found.setdefault((host, marked(stream)), {})
                 held += key not in same
                 same[key] = align(same[key], stream) if key in same else stream
                 if held > 5000:
@@ -341,15 +357,15 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts:
         return out
 
     def some(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "stream": [json.dumps(merged(pdf))]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "marked": pdf["marked"].iloc[:1], "stream": [json.dumps(merged(pdf))]})
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         wrapper = merged(pdf)
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [expression(wrapper)], "labels": [json.dumps(label(wrapper))]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "marked": pdf["marked"].iloc[:1], "wrapper": [expression(wrapper)], "labels": [json.dumps(label(wrapper))]})
 
     rows = pages.select(host_of(pages[url_col]).alias("host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    parts = rows.mapInArrow(partial, "host string, stream string").withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
-    return parts.groupBy("host", "salt").applyInPandas(some, "host string, stream string").groupBy("host").applyInPandas(final, "host string, wrapper string, labels string")
+    parts = rows.mapInArrow(partial, "host string, marked boolean, stream string").withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
+    return parts.groupBy("host", "marked", "salt").applyInPandas(some, "host string, marked boolean, stream string").groupBy("host", "marked").applyInPandas(final, "host string, marked boolean, wrapper string, labels string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -358,21 +374,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null and empty pages have an empty text; pages without a usable URL share
     the wrapper of the empty host.  Repeated rows give repeated rows, null ids
     stay, other columns are ignored."""
-    hosts = stored(infer(pages, url_col, html_col), "wrappers").select(F.col("host").alias("h"), "labels")
+    hosts = stored(infer(pages, url_col, html_col), "wrappers").groupBy(F.col("host").alias("h")).agg(F.max(F.when(F.col("marked"), F.col("labels"))).alias("of_marked"), F.max(F.when(~F.col("marked"), F.col("labels"))).alias("of_others"))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"), host_of(pages[url_col]).alias("host"))
-    joined = rows.join(hosts, F.col("host") == F.col("h"), "left").select("id", "url", "html", "labels")
+    joined = rows.join(hosts, F.col("host") == F.col("h"), "left").select("id", "url", "html", "of_marked", "of_others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, dict[str, bool]] = {}
         for batch in batches:
             out = []
-            for html, labels in zip(column(batch, "html"), column(batch, "labels")):
-                key = labels.as_py() or "{}"
-                if key not in read:
-                    if len(read) > 1000:
-                        read.clear()
-                    read[key] = json.loads(key)
-                out.append(main_text(html.as_py() or "", read[key]))
+            for html, *labels in zip(*(column(batch, c) for c in ("html", "of_marked", "of_others"))):
+                keys = [x.as_py() or "{}" for x in labels]
+                if len(read) > 1000:
+                    read.clear()
+                for key in keys:
+                    if key not in read:
+                        read[key] = json.loads(key)
+                out.append(main_text(html.as_py() or "", *(read[k] for k in keys)))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}

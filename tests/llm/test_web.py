@@ -212,3 +212,11 @@ def test_parts_one_after_another_are_the_whole_conversation(spark):
         assert "".join(r.chat for r in found) == whole[c].chat
         assert [t for r in found for t in r.turns] == whole[c].turns and [p for r in found for p in r.parents] == whole[c].parents
         assert sum(r.n_linked for r in found) == whole[c].n_linked
+
+
+def test_a_host_that_mixes_templates(spark):
+    plain = "<html><body><div class='top'>Shop</div><div class='content'><p>{}</p></div></body></html>"
+    marked = "<html><body><div class='content'><p>Shop {}</p></div><article><p>{}</p></article></body></html>"
+    rows = [(i, url, (marked if i % 3 == 0 else plain).format(*[f"sentence {i} " * 20] * 2)) for i in range(9) for url in ("http://s/", None)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 18 and all(r.text == f"sentence {r.page_id} " * 19 + f"sentence {r.page_id}" for r in got)
