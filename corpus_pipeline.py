@@ -40,7 +40,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, checked by decoding them."""
-    return bpe.encode(docs, vocabulary_path()).drop("decoded")
+    return bpe.encode(docs, vocabulary_path())
 
 
 STAGES = [

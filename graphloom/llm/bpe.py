@@ -1,7 +1,7 @@
 """Byte-level BPE with a pair occurrence index.
 
 Texts are cut at spaces into chunks, chunks into words by the vocabulary's
-split pattern.  Chunks that a Python worker has not met before are merged
+split pattern.  Chunks that a partition brings anew are merged
 together: every pair of adjacent symbols is mapped to all its positions among
 their words, the active ranks are applied in ascending order, each to all of
 its positions at once, and only the lists of the pairs that a merge creates are
@@ -15,23 +15,30 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import column, texts_of
 
-#: Fixed value: the split pattern of byte-level BPE vocabularies.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the split pattern of byte-level BPE vocabularies, of letters L, numbers N and white space S.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
+#: Letters and numbers that Unicode 16.0, by which the vocabularies' library
+#: splits, has beyond the 15.1 of Python 3.13 (first and last of each range).
+LETTERS_16 = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
+NUMBERS_16 = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
 #: A space inside a run of white space is no start of a word; texts with one are cut into words at once.
 INNER_SPACE = re.compile(r"\s \s|\s $")
 #: Marks keys of chunks that no space precedes; no valid text holds it.
 BARE = "\ud800"
-#: Chunks that a worker keeps before it starts its table anew.
-KEPT_CHUNKS = 500_000
+#: Characters that wait for new chunks to be merged, words that are merged at a time,
+#: bytes of finished chunks that a worker keeps before it starts its table anew, and
+#: ids of an output batch.  Only memory depends on them.
+WAITING, MERGED, KEPT_BYTES, EMITTED = 2 << 20, 1 << 16, 32 << 20, 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -42,6 +49,37 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+@cache
+def split_pattern(limit: int = 0x110000) -> str:
+    """``SPLIT`` for texts of code points below ``limit``, its classes as ranges
+    of code points by the general categories of Unicode 16.0."""
+
+    def ranges(member: np.ndarray, more: str) -> str:
+        for r in more.split():
+            low, high = r.split("-")
+            member[int(low, 16) : int(high, 16) + 1] = True
+        member = member[:limit]
+        edge = np.flatnonzero(np.diff(member, prepend=False, append=False))
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()))
+
+    kinds = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
+    spaces = kinds == "Z"
+    spaces[[*b"\t\n\v\f\r", 0x85]] = True
+    classes = {"L": ranges(kinds == "L", LETTERS_16), "N": ranges(kinds == "N", NUMBERS_16), "S": ranges(spaces, "")}
+    return re.sub("[LNS]", lambda m: classes[m[0]], SPLIT)
+
+
+def grown(kept: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """``kept`` with ``new`` behind its first ``used`` values; room is doubled."""
+    need = used + len(new)
+    if need > len(kept):
+        wider = np.empty(max(need, 2 * len(kept)), kept.dtype)
+        wider[:used] = kept[:used]
+        kept = wider
+    kept[used:need] = new
+    return kept
+
+
 class PairIndexBpe:
     """Encoder and decoder for one vocabulary (the JSON text of its file)."""
 
@@ -65,17 +103,21 @@ class PairIndexBpe:
         keys = self.left * self.base + self.right
         self.rank_of_key = np.argsort(keys, kind="stable")
         self.keys = keys[self.rank_of_key]
-        self.words = regex.compile(SPLIT)
-        self.stops = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.plain, self.wide = (re.compile(split_pattern(limit)) for limit in (0x80, 0x110000))
+        self.stops = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.forget()
 
     def forget(self) -> None:
         """Empty the table of finished chunks."""
         self.number: dict[str, int] = {}
+        self.known, self.n_ids, self.held = 0, 0, 0  # chunks and ids in the table, and about how many bytes it takes
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
+    def words(self, text: str) -> list[str]:
+        return (self.plain if text.isascii() else self.wide).findall(text)
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 if it never merges."""
         want = a.astype(np.int64) * self.base + b
@@ -150,19 +192,25 @@ class PairIndexBpe:
 
     def learn(self, chunks: list[str]) -> None:
         """Merge the chunks numbered last and add them to the table."""
-        cut = self.words.findall
-        parts = [cut(c[1:] if c.startswith(BARE) else " " + c) for c in chunks]
-        ids, per_word = self.merge_words([w.encode() for p in parts for w in p])
-        ends = np.cumsum([len(p) for p in parts])
-        upto = np.concatenate(([0], np.cumsum(per_word)))[ends]
-        counts = np.diff(upto, prepend=0)
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(counts) - counts))
-        self.count = np.concatenate((self.count, counts))
-        self.ids = np.concatenate((self.ids, ids))
-
-    def encode_all(self, texts: Iterable[str], budget: int = 16 << 20) -> Iterator[np.ndarray]:
-        """The ids of each text.  ``budget``: characters that wait at a time
-        for new chunks to be merged (only memory depends on it)."""
+        cut, parts, waiting = self.words, [], 0
+        for i, c in enumerate(chunks, 1):
+            parts.append(cut(c[1:] if c.startswith(BARE) else " " + c))
+            waiting += len(parts[-1])
+            if waiting >= MERGED or i == len(chunks):
+                ids, per_word = self.merge_words([w.encode() for p in parts for w in p])
+                upto = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum([len(p) for p in parts])]
+                counts = np.diff(upto, prepend=0)
+                self.start = grown(self.start, self.known, self.n_ids + upto - counts)
+                self.count = grown(self.count, self.known, counts)
+                self.ids = grown(self.ids, self.n_ids, ids)
+                self.known += len(parts)
+                self.n_ids += len(ids)
+                parts, waiting = [], 0
+        # a key's string and its place in the dictionary
+        self.held += sum(map(len, chunks)) + 160 * len(chunks)
+
+    def encode_all(self, texts: Iterable[str], budget: int = WAITING) -> Iterator[np.ndarray]:
+        """The ids of each text, ``budget`` characters at a time."""
         waiting: list[list[np.ndarray | int]] = []
         held = 0
         for text in texts:
@@ -180,7 +228,7 @@ class PairIndexBpe:
         for s, e in [*cuts, (len(text), len(text))]:
             part = text[at:s] if cuts else text
             if INNER_SPACE.search(part):
-                keys = [BARE + w for w in self.words.findall(part)]
+                keys = [BARE + w for w in self.words(part)]
             else:  # every space starts a word
                 keys = part.split(" ")
                 keys[0] = BARE + keys[0]
@@ -194,15 +242,15 @@ class PairIndexBpe:
         return out
 
     def _flush(self, waiting: list[list[np.ndarray | int]]) -> Iterator[np.ndarray]:
-        known = len(self.count)
-        if len(self.number) > known:
+        if len(self.number) > self.known:
             # dicts keep insertion order, so the new chunks are the last ones
-            fresh = [w for _, w in zip(range(len(self.number) - known), reversed(self.number))][::-1]
+            fresh = [w for _, w in zip(range(len(self.number) - self.known), reversed(self.number))][::-1]
             self.learn(fresh)
         for parts in waiting:
             out = [np.array([p], np.uint32) if isinstance(p, int) else self._gather(p) for p in parts]
             yield out[0] if len(out) == 1 else np.concatenate(out)
-        if len(self.number) > KEPT_CHUNKS:
+        waiting.clear()
+        if self.held > KEPT_BYTES:
             self.forget()
 
     def _gather(self, chunks: np.ndarray) -> np.ndarray:
@@ -228,13 +276,14 @@ def loaded(spec: str) -> PairIndexBpe:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False) -> DataFrame:
     """Encode ``text_col`` and decode it again, one row per input row.
 
     Returns ``id_col, n_tokens, ids_sha256, decoded_sha256`` and, with
-    ``with_ids``, ``ids array<int>`` and ``decoded string``.  Null and empty
-    texts have no tokens; a null id stays null; repeated rows give repeated
-    rows; other columns of ``docs`` are ignored, whatever they are called."""
+    ``with_ids``, ``ids array<int>``, with ``with_text``, ``decoded string``.
+    Null and empty texts have no tokens; a null id stays null; repeated rows
+    give repeated rows; other columns of ``docs`` are ignored, whatever they are
+    called.  Rows leave a worker as soon as they have ``EMITTED`` ids."""
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # one vocabulary file, some MB whatever the corpus
@@ -242,22 +291,40 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for batch in batches:
-            rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
+            keys, first = column(batch, "id"), 0
+            sizes: list[int] = []
+            hashes: tuple[list[str], list[str]] = ([], [])
+            kept: list[np.ndarray] = []
+            decoded: list[str] = []
+            held = 0
+
+            def full() -> pa.RecordBatch:
+                arrays = [keys.slice(first, len(sizes)), pa.array(sizes, pa.int64()), *(pa.array(h, pa.string()) for h in hashes)]
+                if with_ids:
+                    flat = np.concatenate([*kept, np.zeros(0, np.uint32)]).view(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(flat)))
+                if with_text:
+                    arrays.append(pa.array(decoded, pa.string()))
+                return pa.RecordBatch.from_arrays(arrays, names)
+
             for ids in bpe.encode_all(texts_of(batch, "text")):
                 text = bpe.decode(ids)
-                rows["n_tokens"].append(len(ids))
-                rows["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                rows["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+                sizes.append(len(ids))
+                hashes[0].append(hashlib.sha256(ids.astype("<u4", copy=False).tobytes()).hexdigest())
+                hashes[1].append(hashlib.sha256(text.encode()).hexdigest())
                 if with_ids:
-                    rows["ids"].append(ids.astype(np.int32))
-                    rows["decoded"].append(text)
-            arrays = [column(batch, "id"), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["ids_sha256"], pa.string()), pa.array(rows["decoded_sha256"], pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                arrays += [pa.array(rows["ids"], pa.list_(pa.int32())), pa.array(rows["decoded"], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                    kept.append(ids)
+                if with_text:
+                    decoded.append(text)
+                held += len(ids)
+                if held >= EMITTED:
+                    yield full()
+                    first += len(sizes)
+                    sizes, hashes, kept, decoded, held = [], ([], []), [], [], 0
+            if sizes:
+                yield full()
 
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_text
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)

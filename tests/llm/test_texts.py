@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -107,7 +108,7 @@ def reference():
 def test_bpe_equals_the_library(spark, docs, odd, reference):
     extra = spark.createDataFrame([(900, "<|endoftext|>a <|endoftext|><|endoftext|> \n  b\t\n"), (901, "it's  we'll x 12345 ½ 漢字 😀 \r\n \n x"), (902, "ababababababab aaaaaaa")], "doc_id long, text string")
     for df in (docs, odd, extra):
-        rows = {(r.doc_id, r.ids_sha256): r for r in bpe.encode(df, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+        rows = {(r.doc_id, r.ids_sha256): r for r in bpe.encode(df, public_tokenizers.path("byte_bpe_50k.json"), with_text=True).collect()}
         for i, b in texts(df):
             ids = reference.encode(b.decode(), add_special_tokens=False).ids
             r = rows[i, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()]
@@ -126,6 +127,33 @@ def test_bpe_on_random_texts(reference, text):
     assert ids.tolist() == reference.encode(text, add_special_tokens=False).ids and own.decode(ids) == text
 
 
+def test_bpe_on_every_code_point(reference):
+    """Letters, numbers and spaces are those of the library's Unicode version."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        own = bpe.loaded(f.read())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for low in range(0, len(points), 4096):
+        text = "\n".join(x for c in points[low : low + 4096] for x in ((c + "'s", " " + c, c + c, c + "!", "1" + c) if low < 0x10000 else (c + "!", "a" + c + "1")))
+        ends = [o[1] for _, o in reference.pre_tokenizer.pre_tokenize_str(text)]
+        assert list(accumulate(map(len, own.words(text)))) == ends, hex(low)
+    for low in [*range(0, 0x3000, 4096), *range(0x10000, 0x1F000, 0x5000)]:
+        text = " ".join(points[low : low + 4096])
+        (ids,) = own.encode_all([text])
+        assert ids.tolist() == reference.encode(text, add_special_tokens=False).ids, hex(low)
+    own.forget()
+
+
+def test_bpe_in_small_steps(spark, docs, reference, monkeypatch):
+    """Bounds of memory change no id."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        own = bpe.PairIndexBpe(f.read())
+    monkeypatch.setattr(bpe, "MERGED", 7)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 3000)
+    rows = [b.decode() for _, b in texts(docs)][:60] + ["", "a  b", "x" * 3000]
+    got = list(own.encode_all(rows, budget=500))
+    assert [g.tolist() for g in got] == [e.ids for e in reference.encode_batch(rows, add_special_tokens=False)]
+
+
 def test_quality_scores(spark, odd):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
