@@ -11,26 +11,30 @@ from pyspark.sql import DataFrame
 BOUNDARIES, SHARE = ("\n\n", "\n", ". "), 0.6
 
 
+def spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Where the chunks of a text begin and end.  All but the last are ``size``
+    long, or end one character into their last boundary where that lies beyond
+    the share; each begins ``overlap`` (at most a third of the size) before the
+    end of the one before it, but after its beginning."""
+    step_back = sorted((0, overlap, size // 3))[1]
+    least = int(size * SHARE) + 1
+    begin = end = 0
+    while end < len(text):
+        begin = max(end - step_back, begin + 1) if end else 0
+        end = begin + size
+        if end < len(text):
+            # the first place of the latest boundary that lies far enough
+            cut = max(text.rfind(mark, begin + least, end) for mark in BOUNDARIES)
+            end = end if cut < 0 else cut + 1
+        yield begin, min(end, len(text))
+
+
 def chunks_of(text: str, size: int, overlap: int) -> list[str]:
-    """A text that fits comes back as it is.  Else each chunk ends one character
-    into the last boundary beyond the share, the next begins ``overlap`` (at
-    most a third of the size) before that end; chunks are stripped, empty ones left out."""
-    if size <= 0 or len(text) <= size:
+    """The chunks of a text, stripped, without empty ones; a text that fits
+    comes back as it is."""
+    if not 0 < size < len(text):
         return [text]
-    overlap = min(max(overlap, 0), size // 3)
-    out, begin = [], 0
-    while True:
-        end = min(begin + size, len(text))
-        if end < len(text):
-            last = max(text.rfind(b, begin, end) for b in BOUNDARIES) - begin
-            if last > size * SHARE:
-                end = begin + last + 1
-        piece = text[begin:end].strip()
-        if piece:
-            out.append(piece)
-        if end == len(text):
-            return out
-        begin = max(end - overlap, begin + 1)
+    return [piece for s, e in spans(text, size, overlap) if (piece := text[s:e].strip())]
 
 
 def chunk(df: DataFrame, text_col: str, size: int, overlap: int) -> DataFrame:

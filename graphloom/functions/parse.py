@@ -137,8 +137,8 @@ def tagged_response(response: Column) -> Column:
 
 
 def relations_of(relations: Column, relationships: Column) -> Column:
-    """The relation list under either of its names, else an empty one."""
-    return F.coalesce(relations, relationships, F.array_except(relations, relations), F.filter(relationships, lambda r: F.lit(False)))
+    """The relation list under either of its names; null without both."""
+    return F.coalesce(relations, relationships)
 
 
 def response_text(parts: Column) -> Column:

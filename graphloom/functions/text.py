@@ -74,20 +74,22 @@ def rfind(haystack: Column, needle: str) -> Column:
     return F.when(back > 0, F.length(haystack) - back - len(needle) + 1).otherwise(-1)
 
 
-def truncate(c: Column, limit: int) -> Column:
+def truncate(c: Column, limit: int | Column) -> Column:
     """At most ``limit`` characters, cut after a boundary if one lies in the
     last part.  A boundary counts with its marker less trailing white space,
     and has to begin beyond the best cut so far."""
-    if limit <= 0:
-        return c
-    window = F.substring(c, 1, limit)
+    if isinstance(limit, int):
+        if limit <= 0:
+            return c
+        limit = F.lit(limit)
+    window = F.substring(c, F.lit(1), limit)
     # a fold, so that each marker is looked up once
     cut = F.aggregate(
         F.array(*(F.struct(rfind(window, m).alias("at"), F.lit(len(m.rstrip())).alias("keep")) for m in CUT_MARKERS)),
         F.lit(-1),
         lambda best, m: F.when(m["at"] > best, m["at"] + m["keep"]).otherwise(best),
     )
-    short = F.when(cut >= int(limit * CUT_SHARE), F.substring(window, F.lit(1), cut)).otherwise(window)
+    short = F.when(cut >= F.floor(limit * F.lit(CUT_SHARE)), F.substring(window, F.lit(1), cut)).otherwise(window)
     return F.when(F.length(c) <= limit, c).otherwise(rstrip(short))
 
 

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Where rows without an index are sorted.
-NO_INDEX = 10**12
-
+from ..scratch import stored
 
 def union_batches(*frames: DataFrame) -> DataFrame:
     """Union by name; columns that a batch lacks are null."""
@@ -50,16 +47,13 @@ def index_range(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("records"))
 
 
-def sort_by_index(df: DataFrame, key: str, order: str, missing: int = NO_INDEX) -> DataFrame:
-    return df.orderBy(F.coalesce(key, F.lit(missing)), order)
-
-
 def places(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``place`` from 0 in the given order and ``total``.  Places come
     from counts per range partition, so that no task sorts everything.  The
-    ranges are kept on disk, as a second deal might draw other bounds."""
+    ranges are stored, as a second deal might draw other bounds."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id").persist(StorageLevel.DISK_ONLY)
+    ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    ranged = stored(ranged, "places")
     # a row per partition
     counts = ranged.groupBy("_part").agg(F.count("*").alias("rows"))
     sofar = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,8 +71,16 @@ def shards(df: DataFrame, order: str, parts: int) -> DataFrame:
     return places(df, order).withColumn("shard", (shard + 1).cast("int")).drop("place", "total")
 
 
-def sidecar_failures(failures: Column, other: Column) -> Column:
-    return F.coalesce(failures, other)
+def failure_total(joined: DataFrame) -> DataFrame:
+    """Failures that the sidecars of all batches name; none where they say nothing."""
+    return joined.agg(F.coalesce(F.sum("metadata_failures"), F.lit(0)).cast("bigint").alias("sidecar_failures"))
+
+
+def finish_reasons(diagnostics: DataFrame) -> DataFrame:
+    """Per batch (``path``) why the model stopped, in the order of its calls;
+    null where a call does not say.  A batch is one file's calls."""
+    rows = diagnostics.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "finish_reason"))).alias("r"))
+    return rows.select("path", F.transform("r", lambda x: x["finish_reason"]).alias("finish_reasons"))
 
 
 def join_sidecars(batches: DataFrame, sidecars: DataFrame) -> DataFrame:

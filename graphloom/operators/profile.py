@@ -33,6 +33,15 @@ def model_profile(results: DataFrame, model: str = "model", valid: Column | None
     return rows.groupBy(model).agg(F.count("*").alias("total_cases"), F.count_if("valid").alias("valid_json_cases"), F.bround(F.count_if("valid") / F.count("*"), 4).alias("valid_json_ratio"), *four(only("entity_count"), "entity_count"), *four(only("relation_count"), "relation_count"), F.array_sort(F.collect_list(F.when(~F.col("valid"), F.col("id")))).alias("invalid_ids"))
 
 
+def summary(profile: DataFrame, *by: str) -> DataFrame:
+    """A profile of few rows as one JSON object: of its row, or by the values of ``by``."""
+    rest = F.struct(*(c for c in profile.columns if c not in by))
+    if not by:
+        return profile.select(F.to_json(rest).alias("summary"))
+    name = F.concat_ws("/", *by)
+    return profile.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("k"), rest.alias("v")))))).alias("summary"))
+
+
 def long_form(wide: DataFrame, outputs: str = "outputs") -> DataFrame:
     """A row per case and model of a map from model to output; a model that a
     case lacks has a null output there."""

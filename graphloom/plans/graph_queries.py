@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import batches, extract, graph, profile, quality, twopass
+from ..sources.json_files import GRAPH
 from . import kg_view as kg
 from .kg_view import VIEW_SQL as K
 from .kg_view import table
-from .text_queries import four_sql
+from .text_queries import CHUNK, CHUNKS, OVERLAP, _truncated, four_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -341,16 +342,42 @@ def positional_lookup(spark: SparkSession, d: str) -> DataFrame:
     return profile.positional(cases, records).select("id", "text")
 
 
-@query()
+#: The stub extractor in SQL: the first five capitalised words of ``texts(id, part, text)``.
+ECHO = """words AS (SELECT id, part, ord, trim(w, '.,;:') AS name FROM (SELECT id, part, unnest(ws) AS w, generate_subscripts(ws, 1) AS ord FROM (SELECT id, part, string_split_regex(text, '\\s+') AS ws FROM texts)) WHERE w <> '' AND w[1] = upper(w[1]) AND w[1] <> lower(w[1])),
+found AS (SELECT id, part, name, min(ord) AS ord FROM words GROUP BY id, part, name QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY min(ord)) <= 5)"""
+
+
+@query(f"""WITH cuts AS ({_truncated("SELECT doc_id, text FROM documents", 4000)}), texts AS (SELECT doc_id AS id, 1 AS part, cut AS text FROM cuts WHERE length(text) >= 50), {ECHO}
+SELECT doc_id AS global_idx, length(text) < 50 AS skip, length(text) >= 50 AS success, CASE WHEN length(text) >= 50 THEN length(cut) END AS input_chars, CASE WHEN length(text) >= 50 THEN length(text) END AS original_input_chars,
+CASE WHEN length(text) >= 50 THEN coalesce(names, '') END AS names FROM cuts LEFT JOIN (SELECT id, string_agg(name, ',' ORDER BY ord) AS names FROM found GROUP BY id) ON id = doc_id""")
 def extraction_run(spark: SparkSession, d: str) -> DataFrame:
     """Every document through the stub extractor, in one call each."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("global_idx"), "text")
-    return extract.run(docs, extract.echo_extractor, str).select("global_idx", "success", "input_chars", "original_input_chars", "output")
+    got = extract.run(docs, extract.echo_extractor, str, extract.Settings(max_chars=4000))
+    names = F.transform(F.from_json("output", GRAPH)["entities"], lambda e: e["name"])
+    return got.select("global_idx", "skip", "success", "input_chars", "original_input_chars", F.when(~F.col("skip"), F.array_join(names, ",")).alias("names"))
+
+
+@query(f"""WITH RECURSIVE {CHUNKS}, texts AS (SELECT doc_id AS id, chunk_index AS part, piece AS text FROM chunks), {ECHO},
+named AS (SELECT id, part, ord, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS norm FROM found),
+heads AS (SELECT id, part, arg_min(norm, ord) AS norm FROM named GROUP BY ALL),
+e AS (SELECT id, count(DISTINCT norm) AS n_entities FROM named GROUP BY id),
+r AS (SELECT id, count(DISTINCT h.norm || '/' || n.norm) AS n_relations FROM (SELECT *, row_number() OVER (PARTITION BY id, part ORDER BY ord) AS place FROM named) n JOIN heads h USING (id, part) WHERE place > 1 GROUP BY id)
+SELECT doc_id AS global_idx, trim(text) = '' AS skip, trim(text) <> '' AS success, k AS chunk_count, k AS successful_chunks, CASE WHEN trim(text) <> '' THEN coalesce(n_entities, 0) END AS n_entities, CASE WHEN trim(text) <> '' THEN coalesce(n_relations, 0) END AS n_relations
+FROM documents LEFT JOIN (SELECT doc_id, CAST(count(*) AS INTEGER) AS k FROM chunks GROUP BY doc_id) USING (doc_id) LEFT JOIN e ON e.id = doc_id LEFT JOIN r ON r.id = doc_id""")
+def extraction_run_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """Every document through the stub extractor, chunk by chunk, graphs merged."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("global_idx"), "text")
+    got = extract.run(docs, extract.echo_extractor, str, extract.Settings(max_chars=CHUNK, overlap=OVERLAP), by_chunks=True)
+    g = F.from_json("output", GRAPH)
+    return got.select("global_idx", "skip", "success", "chunk_count", "successful_chunks", *(F.when(~F.col("skip"), F.size(g[c]).cast("bigint")).alias(f"n_{c}") for c in ("entities", "relations")))
 
 
-@query()
-def extraction_run_chunked(spark: SparkSession, d: str) -> DataFrame:
-    """Every document through the stub extractor, chunk by chunk."""
+@query(f"""WITH cuts AS ({_truncated("SELECT doc_id, text FROM documents", 4000)}), texts AS (SELECT doc_id AS id, 1 AS part, cut AS text FROM cuts WHERE length(text) >= 50), {ECHO}, n AS (SELECT id, count(*) AS n FROM found GROUP BY id),
+all_ AS (SELECT doc_id AS id, length(text) AS chars, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS total FROM documents)
+SELECT CAST(CASE WHEN place < total % 4 * (total // 4 + 1) THEN place // (total // 4 + 1) ELSE total % 4 + (place - total % 4 * (total // 4 + 1)) // (total // 4) END + 1 AS INTEGER) AS shard,
+CASE WHEN coalesce(n, 0) < 3 THEN 'few_entities' END AS reason, count(*) AS records FROM all_ LEFT JOIN n USING (id) WHERE chars >= 50 GROUP BY ALL""")
+def sharded_run(spark: SparkSession, d: str) -> DataFrame:
+    """The driver over four shards, with the quality filter: records by shard and reason."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("global_idx"), "text")
-    settings = extract.Settings(max_chars=4000)
-    return extract.run(docs, extract.echo_extractor, str, settings, merge=lambda outputs: "[" + ",".join(outputs) + "]").select("global_idx", "success", "chunk_count", "successful_chunks", "input_chars")
+    return extract.sharded(docs, extract.echo_extractor, str, extract.Settings(max_chars=4000), workers=4).groupBy("shard", "reason").agg(F.count("*").alias("records"))

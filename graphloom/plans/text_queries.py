@@ -61,20 +61,24 @@ def truncate_boundary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT lang, count(*) AS n, {four_sql('length(cut)', 'chars')} FROM ({_truncated('SELECT lang, text FROM documents', LIMIT)}) WHERE length(cut) >= {LEAST} GROUP BY lang")
 def profile_truncated(spark: SparkSession, d: str) -> DataFrame:
-    cut = table(spark, d, "documents").select("lang", t.truncate(F.col("text"), LIMIT).alias("cut")).where(F.length("cut") >= LEAST)
-    return cut.groupBy("lang").agg(F.count("*").alias("n"), *profile.four(F.length("cut"), "chars"))
+    # the length is what an exchange has: the cut itself is made once
+    chars = table(spark, d, "documents").select("lang", F.length(t.truncate(F.col("text"), LIMIT)).alias("chars")).repartition("lang", "chars").where(F.col("chars") >= LEAST)
+    return chars.groupBy("lang").agg(F.count("*").alias("n"), *profile.four(F.col("chars"), "chars"))
 
 
-@query(f"""
-WITH RECURSIVE c AS (
+#: ``(doc_id, chunk_index, piece)``: the chunks of all documents.
+CHUNKS = f"""c AS (
   SELECT doc_id, text, 0 AS start, 0 AS n, false AS done, CAST(NULL AS VARCHAR) AS piece FROM documents WHERE length(text) > {CHUNK}
   UNION ALL
   SELECT doc_id, text, greatest(e - {OVERLAP}, start + 1), n + 1, e >= length(text), {_strip('substr(text, start + 1, e - start)')}
   FROM (SELECT *, CASE WHEN start + {CHUNK} < length(text) AND b > {CHUNK * 0.6} THEN start + b + 1 ELSE least(start + {CHUNK}, length(text)) END AS e
         FROM (SELECT *, greatest({_rfind('w', chr(10) * 2)}, {_rfind('w', chr(10))}, {_rfind('w', '. ')}) AS b
-              FROM (SELECT *, substr(text, start + 1, {CHUNK}) AS w FROM c WHERE NOT done))))
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS chunk_index, CAST(length(piece) AS INTEGER) AS chars, md5(piece) AS chunk_md5 FROM c WHERE n > 0 AND piece <> ''
-UNION ALL SELECT doc_id, 1, CAST(length(text) AS INTEGER), md5(text) FROM documents WHERE length(text) <= {CHUNK}""")
+              FROM (SELECT *, substr(text, start + 1, {CHUNK}) AS w FROM c WHERE NOT done)))),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS chunk_index, piece FROM c WHERE n > 0 AND piece <> ''
+UNION ALL SELECT doc_id, 1, text FROM documents WHERE length(text) <= {CHUNK})"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_index, CAST(length(piece) AS INTEGER) AS chars, md5(piece) AS chunk_md5 FROM chunks")
 def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     rows = chunk(table(spark, d, "documents").select("doc_id", "text"), "text", CHUNK, OVERLAP)
     return rows.select("doc_id", "chunk_index", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5"))

@@ -38,6 +38,17 @@ def root_records(docs: DataFrame, wrapper: str = "entities") -> DataFrame:
     return docs.where(root.isNotNull()).select("path", F.posexplode(rows).alias("ord", "record")).select("path", "ord", F.to_json("record").alias("record"))
 
 
+def listed_records(docs: DataFrame, wrapper: str = "entities") -> DataFrame:
+    """As :func:`root_records` for files that have to be lists: an object with
+    ``wrapper`` stands for what is under it, of whatever type, and anything that
+    is no list is an error."""
+    root = F.try_parse_json("value")
+    wrapped = F.schema_of_variant(root).startswith("OBJECT") & F.array_contains(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), wrapper)
+    inside = F.when(wrapped, F.try_variant_get(root, f"$.{wrapper}", "variant")).otherwise(root)
+    rows = F.when(F.coalesce(F.schema_of_variant(inside).startswith("ARRAY"), F.lit(False)), F.try_variant_get(inside, "$", "array<variant>")).otherwise(F.raise_error(F.concat(F.lit("no list of records in "), "path")).cast("array<variant>"))
+    return docs.where(root.isNotNull()).select("path", F.posexplode(rows).alias("ord", "record")).select("path", "ord", F.to_json("record").alias("record"))
+
+
 def rejects(docs: DataFrame) -> DataFrame:
     """Files that are no JSON."""
     return docs.where(F.try_parse_json("value").isNull()).select("path")
@@ -55,6 +66,13 @@ def typed(records: DataFrame, schema: T.StructType) -> DataFrame:
     return records.select("path", "ord", F.from_json("record", schema).alias("r"), F.col("record").alias("raw")).select("path", "ord", "r.*", "raw")
 
 
+def objects_of(value: Column, field: str, kind: T.StructType) -> Column:
+    """The objects of the list under ``field`` of a JSON text, in order; other
+    elements are left out.  Null if there is no such list."""
+    items = F.try_variant_get(F.try_parse_json(value), f"$.{field}", "array<variant>")
+    return F.transform(F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), lambda x: F.from_json(F.to_json(x), kind))
+
+
 def input_used(raw: Column) -> Column:
     """``input_used`` of a raw record as a list, whether it was one or a text."""
     value = F.get_json_object(raw, "$.input_used")

@@ -135,31 +135,139 @@ def test_unknown_model(spark):
         profile.cases_by_models(spark.range(3), ["nope"], None, {"base"})
 
 
-def test_calls_are_retried_and_shortened():
-    seen = []
+def test_calls_are_retried_and_shortened(spark, tmp_path):
+    log = str(tmp_path / "calls")
 
     def flaky(prompt):
-        seen.append(len(prompt))
-        if len(seen) == 1:
+        with open(log, "a+") as f:
+            f.seek(0)
+            before = len(f.read().split())
+            f.write(f"{len(prompt)}\n")
+        if not before:
             raise TimeoutError("timed out")
-        return '<output>{"a": 1}</output>' if len(prompt) < 1500 else '{"a": {'
-
-    got = extract.call(flaky, str, "x" * 2000, extract.Settings(retries=4))
-    assert got["success"] and seen == [2000, 2000, 1400]
-    assert extract.call(lambda p: "", str, "x", extract.Settings(retries=1))["error"].startswith("other[ValueError]")
-
-
-def test_chunked_run_with_repair():
-    merge = lambda outputs: json.dumps({"n": len(outputs)})
-    good = extract.chunked(lambda p: '{"a": 1}', str, "word " * 50, extract.Settings(max_chars=60, overlap=0), merge, lambda *a: "repair")
-    assert good["success"] and good["failed_chunks"] == 0 and json.loads(good["output"]) == {"n": 1}
-    assert extract.chunked(str, str, "  ", extract.Settings(), merge) is None
-    bad = extract.chunked(lambda p: "no", str, "abc", extract.Settings(retries=1), merge)
-    assert not bad["success"] and bad["error"] == "all chunks failed"
-
-
-def test_split_result_fills_missing_keys_only():
-    assert extract.split_result('{"source_id": ""}', {"source_id": "s", "code": "c"}) == {"source_id": "", "code": "c"}
+        return '<thinking>t</thinking><output>{"a": 1}</output>' if len(prompt) < 1500 else '{"a": {'
+
+    one = spark.createDataFrame([(1, "x" * 2000)], "global_idx long, text string")
+    got = extract.call(one, flaky, str, extract.Settings(retries=4)).first()
+    assert got.success and got.cot == "t" and got.output == '{"a": 1}' and len(got.input_used) == 1400
+    with open(log) as f:
+        assert f.read().split() == ["2000", "2000", "1400"]
+    bad = extract.call(one, lambda p: "", str, extract.Settings(retries=1)).first()
+    assert bad.error == "other[ValueError]: empty response" and not bad.success
+    assert extract.call(one, lambda p: "no", str, extract.Settings(retries=2)).first().error == extract.NO_JSON
+    assert extract.call(one.limit(0), str, str).collect() == []
+
+
+def test_single_run_marks_what_it_skips(spark):
+    df = spark.createDataFrame([(1, "short"), (2, None), (3, "Long enough " * 10)], "global_idx long, text string")
+    got = {r.global_idx: r for r in extract.single(df, extract.echo_extractor, str).collect()}
+    assert got[1].skip and got[2].skip and not got[1].success and got[1].error == extract.SKIPPED
+    assert got[3].success and not got[3].skip and json.loads(got[3].output)["entities"][0]["name"] == "Long"
+    assert extract.counters(extract.single(df, extract.echo_extractor, str)).first().asDict() == {"total": 3, "succeeded": 1, "failed": 0, "skipped": 2, "failed_chunks": 0}
+
+
+def test_chunked_run_with_repair(spark):
+    df = spark.createDataFrame([(1, "Ann met Bob. " * 12), (2, "  "), (3, "fails")], "global_idx long, text string")
+
+    def model(prompt):
+        if "repair" in prompt:
+            return '{"entities": [{"id": "a", "label": "L", "name": "whole"}], "relations": []}'
+        if "fails" in prompt:
+            raise RuntimeError("429")
+        return extract.echo_extractor(prompt)
+
+    small = extract.Settings(max_chars=60, overlap=0, retries=1)
+    got = {r.global_idx: r for r in extract.chunked(df, model, str, small).collect()}
+    assert got[1].success and got[1].chunk_count == got[1].successful_chunks > 2 and got[2].skip
+    graph_ = json.loads(got[1].output)
+    assert [(e["id"], e["name"]) for e in graph_["entities"]] == [("E1", "Ann"), ("E2", "Bob")] and [(r["source"], r["target"]) for r in graph_["relations"]] == [("E1", "E2")]
+    assert not got[3].success and got[3].error == extract.NO_CHUNK and got[3].failed_chunk_indexes == [1] and got[3].chunk_traces[0].error == "rate_limit[RuntimeError]: 429"
+    fixed = {r.global_idx: r for r in extract.chunked(df, model, str, small, lambda text, graph, failed: f"repair {len(text)} {failed}").collect()}
+    assert [e["name"] for e in json.loads(fixed[1].output)["entities"]] == ["whole"]
+    kept = {r.global_idx: r for r in extract.chunked(df, model, str, small, lambda text, graph, failed: "fails").collect()}
+    assert json.loads(kept[1].output) == graph_ and kept[1].success and "429" in kept[1].error
+
+
+def test_graphs_of_chunks_are_merged(spark):
+    a = {"entities": [1, {"id": "D1", "label": "Disease", "name": "Flu", "properties": {"p": "x"}}], "relationships": [{"source": "D1", "target": "flu", "relation": "is"}]}
+    b = {"entities": [{"id": "D1", "label": "Disease", "name": " flu", "properties": {"p": "y", "q": ""}}, {"id": "S1", "label": "Symptom", "name": "Cough"}], "relations": [{"source": "S1", "target": "D1", "relation": "of"}, {"source": "S1", "target": "ghost", "relation": "of"}]}
+    rows = [(1, 1, json.dumps(a)), (1, 2, json.dumps(b)), (2, 1, "{}")]
+    got = {r.rec: json.loads(r.output) for r in extract.merge_graphs(spark.createDataFrame(rows, "rec long, chunk int, output string")).collect()}
+    assert got[1]["entities"] == [{"id": "D1", "label": "Disease", "name": "Flu", "properties": {"p": "x | y"}}, {"id": "S1", "label": "Symptom", "name": "Cough", "properties": {}}]
+    assert [(r["source"], r["target"], r["relation"]) for r in got[1]["relations"]] == [("D1", "D1", "is"), ("S1", "D1", "of")]
+    assert got[2] == {"entities": [], "relations": []}
+
+
+def test_sharded_run_and_its_tables(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"Ann{i} Bob{i} Cid{i} " + "and so on " * 6 if i % 2 else "Nobody else is here " + "x " * 30) for i in range(9)] + [(9, "x")], "global_idx long, text string")
+    got = extract.sharded(df, extract.echo_extractor, str, workers=4, folder=str(tmp_path), stamp="t")
+    assert sorted((r.global_idx, r.shard, r.reason) for r in got.collect()) == [(i, s, None if i % 2 else "few_entities") for i, s in zip(range(9), [1, 1, 1, 2, 2, 2, 3, 3, 4])]
+    assert spark.read.parquet(f"{tmp_path}/raw_t").count() == 9 and spark.read.parquet(f"{tmp_path}/filtered_t").count() == 4
+
+
+def test_split_inputs(spark):
+    rows = [("s1", "c1", None, '{"x": 1}'), ("s2", None, "t2", "boom"), ("s3", "c3", "t3", "prose"), ("s4", "c4", "t4", "empty")]
+
+    def model(prompt):
+        if prompt == "boom":
+            raise ConnectionError("connection lost")
+        answers = {"prose": "no object", "empty": "{}"}
+        return {"text": answers.get(prompt, '```json\n{"source_id": "", "title": null, "relations": [1]}\n```'), "finish_reason": "STOP", "total_token_count": 7}
+
+    good, bad = extract.split_inputs(spark.createDataFrame(rows, "source_id string, code string, title string, body string"), model, str)
+    got = {r.source_id: r for r in good.collect()}
+    assert json.loads(got["s1"].record) == {"source_id": "", "title": None, "relations": [1], "code": "c1", "entities": []}
+    assert json.loads(got["s4"].record) == {"source_id": "s4", "code": "c4", "title": "t4", "entities": [], "relations": []}
+    assert got["s1"].diagnostics.asDict() == {"prompt_chars": 8, "finish_reason": "STOP", "prompt_token_count": None, "candidates_token_count": None, "total_token_count": 7, "thoughts_token_count": None, "cached_content_token_count": None}
+    assert {r.source_id: r.error for r in bad.collect()} == {"s2": "network[ConnectionError]: connection lost", "s3": extract.NO_JSON}
+
+
+def test_traces(spark):
+    rows = [(1, "a", "", "", "one"), (2, "b", "", "", "two"), (3, "c", "", "", "three"), (4, "d", "", "", "four")]
+
+    def model(prompt):
+        if prompt == "four":
+            raise ValueError("401")
+        return {
+            "one": "<think>why</think><output>{\"a\": 1}</output>",
+            "two": {"parts": [{"text": "thinking aloud", "thought": True}, {"text": '{"b": 2}', "thought": False}], "finish_reason": "STOP"},
+            "three": "nothing to parse",
+        }[prompt]
+
+    good, bad = extract.traces(spark.createDataFrame(rows, "global_idx long, source_id string, code string, title string, text string"), model, str, "specific")
+    got = {r.global_idx: r for r in good.collect()}
+    assert (got[1].cot, json.loads(got[1].output), got[1].response_had_think_tag, got[1].response_had_output_tag, got[1].response_had_thought_parts) == ("why", {"a": 1}, True, True, False)
+    assert (got[2].cot, json.loads(got[2].output), got[2].response_had_thought_parts, got[2].diagnostics.finish_reason) == ("thinking aloud", {"b": 2}, True, "STOP")
+    assert {r.global_idx: r.error for r in bad.collect()} == {3: extract.NO_JSON, 4: "auth[ValueError]: 401"}
+
+
+def test_vertical_split_and_its_tables(spark, tmp_path):
+    schema = "ord long, id string, code string, title string, classKind string, definition string, diagnosticCriteria string, narrowerTerms array<string>, longDefinition string, parent array<string>, child array<string>"
+    rows = [(0, "http://x/a", "A", "ta", "k", "d", "crit", ["n"], "l", [], ["http://x/b", "?"]), (1, "http://x/b", "B", "tb", "k", None, None, None, None, ["a"], None)]
+    twopass.write_split(spark.createDataFrame(rows, schema), str(tmp_path), "p")
+    s = {r.source_id: r for r in spark.read.parquet(f"{tmp_path}/p.structure").collect()}
+    assert "definition" not in s["http://x/a"].asDict() and [(r.reference, r.code) for r in s["http://x/a"].childResolved] == [("http://x/b", "B"), ("?", "")]
+    assert [r.id for r in s["http://x/b"].parentResolved] == ["http://x/a"] and s["http://x/b"].childResolved == []
+    assert spark.read.parquet(f"{tmp_path}/p.long_text").where("get(narrowerTerms, 0) = 'n'").count() == 1
+    assert [(r.has_diagnosticCriteria, r.narrowerTerms_count) for r in spark.read.parquet(f"{tmp_path}/p.manifest").orderBy("source_id").collect()] == [(True, 1), (False, 0)]
+
+
+def test_whole_values_come_once_in_order(spark):
+    df = spark.createDataFrame([(1, 3, '{"b": 1, "a": 2}'), (1, 1, '{"a":2,"b":1}'), (1, 2, '{"a": 3}'), (1, 4, "no json"), (2, 1, "no json")], "k int, pos int, v string")
+    assert {r.k: r.v for r in twopass.distinct_in_order(df, ["k"], "pos", "v").collect()} == {1: ['{"a":2,"b":1}', '{"a": 3}', "no json"], 2: ["no json"]}
+
+
+def test_finish_reasons_and_failures(spark):
+    calls = spark.createDataFrame([("p", 2, "STOP"), ("p", 1, None), ("q", 1, "MAX_TOKENS")], "path string, pos int, finish_reason string")
+    assert {r.path: r.finish_reasons for r in batches.finish_reasons(calls).collect()} == {"p": [None, "STOP"], "q": ["MAX_TOKENS"]}
+    failures = spark.createDataFrame([(2,), (None,), (3,)], "metadata_failures long")
+    assert batches.failure_total(failures).first()[0] == 5 and batches.failure_total(failures.limit(0)).first()[0] == 0
+
+
+def test_summary_is_one_object(spark):
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "model string, n long")
+    assert json.loads(profile.summary(rows, "model").first().summary) == {"a": {"n": 1}, "b": {"n": 2}}
+    assert json.loads(profile.summary(rows.agg(F.sum("n").alias("n"))).first().summary) == {"n": 3}
 
 
 def test_resume_and_window(spark):

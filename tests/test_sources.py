@@ -67,3 +67,11 @@ def test_stream_equals_batch(spark, tmp_path):
         ingest(spark, landing, schema, target, checkpoint)
     ingest(spark, landing, schema, target, checkpoint)
     assert sorted((r.global_idx, r.v) for r in spark.read.parquet(target).collect()) == [(1, "a"), (2, "b"), (3, "e")]
+
+
+def test_roots_that_have_to_be_lists(spark):
+    df = spark.createDataFrame([("a", '[{"x": 1}, 2]'), ("b", '{"entities": [3]}')], "path string, value string")
+    assert sorted((r.path, r.ord, r.record) for r in J.listed_records(df).collect()) == [("a", 0, '{"x":1}'), ("a", 1, "2"), ("b", 0, "3")]
+    for bad in ('{"entities": {"x": 1}}', '{"x": []}', "5"):
+        with pytest.raises(Exception, match="no list of records"):
+            J.listed_records(spark.createDataFrame([("c", bad)], df.schema)).collect()
