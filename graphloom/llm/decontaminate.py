@@ -19,7 +19,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import column, stored, texts_of
 
@@ -27,17 +26,20 @@ from .common import column, stored, texts_of
 BUCKETS = 1 << 16
 #: Words of a document passage, and how far the next one begins after it.
 WINDOW, STRIDE = 32, 16
-#: Items of more words are cut into parts of PART words, each judged by itself.
-LONGEST, PART = 96, 64
+#: Words of a benchmark passage, and how far the next one begins after it: an item
+#: is its passages (itself, if it has no more words), and leaks if one of them does.
+PART, STEP = 64, 32
 #: Benchmark passages that share a latent space, its dimensions, and spaces that one scan of the documents serves.
 BLOCK, RANK, SPACES = 256, 160, 8
-#: Least cosine of a candidate; shares of an item's words that a leak must have
-#: in order, without and with the answer check; share of the answer's words.
-COSINE, COPIED, REWORDED, ANSWERED = 0.3, 0.8, 0.65, 0.8
-#: Documents that a stop word has at least.
-COMMON = 64
-#: Shorter items say too little to be told from chance.
-LEAST_WORDS = 5
+#: Least cosine of a candidate, to the part of the window or the passage that is
+#: the smaller; shares of a passage's words that a leak must have in order, without
+#: and with the answer check; share of the answer's words.
+COSINE, COPIED, REWORDED, ANSWERED = 0.4, 0.7, 0.6, 0.8
+#: Share of a passage's words that a leak must have in any order within as many
+#: words and a quarter more, if at least half of them are in order.
+SHUFFLED, HALF = 0.85, 0.5
+#: Passages of fewer words have to stand as they are: parts of them are chance.
+EXACT = 5
 
 _POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
 _WORD = np.zeros(256, bool)
@@ -104,10 +106,8 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarra
 
 
 def weights(total: int, df: np.ndarray) -> np.ndarray:
-    """Inverse document frequencies; words of more than half of the documents,
-    and of more than COMMON, weigh nothing."""
-    idf = np.maximum(np.log((total + 1) / (df + 1)), 0.05)
-    return np.where(df > max(total / 2, COMMON), 0.0, idf).astype(np.float32)
+    """Inverse document frequencies; no word weighs nothing."""
+    return np.maximum(np.log((total + 1) / (df + 1)), 0.05).astype(np.float32)
 
 
 def randomised_svd(a: np.ndarray, rank: int, rounds: int = 2, spare: int = 12) -> np.ndarray:
@@ -121,27 +121,28 @@ def randomised_svd(a: np.ndarray, rank: int, rounds: int = 2, spare: int = 12) -
     return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
-def latent_spaces(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def latent_spaces(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, text_col: str = "text") -> DataFrame:
     """``(block, space binary)``: for each block of passages its terms, their
-    latent coordinates, the passages' directions, words and items.  Passages
-    are dealt to blocks by their order; a block is one task's, and small."""
+    latent coordinates, the passages' directions, words and items, named by the
+    hashes of their texts.  Passages are dealt to blocks by their words; a block
+    is one task's, and small."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for item, text in zip(column(batch, "item").to_pylist(), texts_of(batch, "text")):
                 codes, _ = word_codes([text])
-                if len(codes) < LEAST_WORDS:
+                if not len(codes):
                     continue
                 last = text.rstrip().rstrip(".!?")
                 mark = max(last.rfind(x) for x in (". ", "? ", "! ", "\n"))
                 answer = len(word_codes([text[mark + 1 :]])[0]) if mark >= 0 else 0
                 n = len(codes)
-                starts = [0] if n <= LONGEST else [*range(0, n - PART // 2, PART)]
-                for s, e in zip(starts, [*starts[1:], n]):
+                for s in range(0, max(1, n - STEP), STEP):
+                    e = min(s + PART, n)
                     rows.append((item, codes[s:e].view(np.int64), min(answer, e - s) if e == n else 0))
             cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], item_type), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.int32())], ["item", "words", "answer"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.int32())], ["item", "words", "answer"])
 
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
@@ -150,17 +151,16 @@ def latent_spaces(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, id_co
         rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
         a = np.zeros((len(words), len(terms)), np.float32)
         np.add.at(a, (rows, index), idf[(terms % np.uint64(BUCKETS)).astype(np.int64)][index])
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
+        norms = np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
+        a /= norms
         basis = randomised_svd(a, rank)
         directions = a @ basis
         directions /= np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-9)
-        space = {"terms": terms, "coordinates": basis, "directions": directions, "words": words, "answers": pdf["answer"].tolist(), "items": pdf["item"].tolist()}
+        space = {"norms": norms.ravel(), "terms": terms, "coordinates": basis, "directions": directions, "words": words, "answers": pdf["answer"].tolist(), "items": pdf["item"].tolist()}
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "space": [pickle.dumps(space)]})
 
-    kind = benchmark.schema[id_col].dataType
-    item_type = to_arrow_type(kind)
-    rows = benchmark.select(benchmark[id_col].alias("item"), benchmark[text_col].alias("text")).dropDuplicates(["text"])
-    passages = stored(rows.mapInArrow(cut, f"item {kind.simpleString()}, words array<bigint>, answer int"), "passages")
+    rows = benchmark.select(F.sha2(benchmark[text_col], 256).alias("item"), benchmark[text_col].alias("text")).where("text is not null").dropDuplicates(["item"])
+    passages = stored(rows.mapInArrow(cut, "item string, words array<bigint>, answer int"), "passages")
     # an even deal without a global sort: by hash into as many blocks as are needed
     blocks = max(1, -(-passages.count() // (BLOCK * 3 // 4)))
     dealt = passages.withColumn("place", F.xxhash64("words")).withColumn("block", F.pmod("place", F.lit(blocks)).cast("int"))
@@ -187,6 +187,34 @@ def masks_of(words: np.ndarray) -> dict[int, int]:
     return out
 
 
+def shuffled(there: np.ndarray, words: np.ndarray) -> float:
+    """The largest share of ``words``, repeats counted, that any stretch of as many
+    words and a quarter more has, in whatever order."""
+    names, number = np.unique(words, return_inverse=True)
+    room = np.bincount(number)
+    at = np.searchsorted(names, there)
+    at[at == len(names)] = 0
+    spans = np.where(names[at] == there, at, -1).tolist()
+    width, have, seen, best = len(words) + len(words) // 4, 0, [0] * len(names), 0
+    for i, k in enumerate(spans):
+        if k >= 0:
+            seen[k] += 1
+            have += seen[k] <= room[k]
+        if i >= width and (k := spans[i - width]) >= 0:
+            have -= seen[k] <= room[k]
+            seen[k] -= 1
+        best = max(best, have)
+    return best / len(words)
+
+
+def sequence_codes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A code for every run of ``n`` words."""
+    out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(out)]
+    return out
+
+
 class Finder:
     """Finds leaks of some latent spaces' items in texts."""
 
@@ -194,6 +222,12 @@ class Finder:
         self.spaces, self.idf, self.cosine = spaces, idf, cosine
         for s in spaces:
             s["counts"] = [[*Counter(w.tolist()).items()] for w in s["words"]]
+            s["least"] = float(s["norms"].min()) ** 2
+            # passages that have to stand as they are: number of words, hash, passage
+            short = [(len(w), int(sequence_codes(w, len(w))[0]), j) for j, w in enumerate(s["words"]) if len(w) < EXACT]
+            s["exact"] = {}
+            for n, h, j in short:
+                s["exact"].setdefault(n, {}).setdefault(h, []).append(j)
             s["masks"] = [(masks_of(w), masks_of(w[len(w) - a :]) if a else {}) for w, a in zip(s["words"], s["answers"])]
 
     def find(self, texts: list[str]) -> list[tuple[int, object, float, float, float]]:
@@ -208,14 +242,22 @@ class Finder:
         energy = np.concatenate(([0.0], np.cumsum(weight.astype(np.float64) ** 2)))
         whole = energy[stop] - energy[start]
         found: dict[tuple, tuple] = {}
+        runs: dict[int, np.ndarray] = {}
         for space in self.spaces:
+            for n, hashes in space["exact"].items():
+                if n not in runs:
+                    runs[n] = sequence_codes(codes, n)
+                for i in np.flatnonzero(np.isin(runs[n], np.array(list(hashes), np.uint64))).tolist():
+                    doc = int(np.searchsorted(offsets, i, "right")) - 1
+                    if i + n <= offsets[doc + 1]:
+                        found.update({(doc, space["items"][j]): (1.0, 1.0, 1.0) for j in hashes[int(runs[n][i])] if (codes[i : i + n] == space["words"][j]).all()})
             at = np.searchsorted(space["terms"], codes)
             at[at == len(space["terms"])] = 0
             known = space["terms"][at] == codes
             inside = np.concatenate(([0.0], np.cumsum(np.where(known, weight, 0).astype(np.float64) ** 2)))
             known &= weight > 0
-            # the cosine is at most the share of a window that the space knows, repeats aside
-            likely = np.flatnonzero((inside[stop] - inside[start] >= 0.25 * self.cosine**2 * whole) & (whole > 0))
+            # the likeness is at most the share of a window, or of the smallest passage, that the space knows, repeats aside
+            likely = np.flatnonzero((inside[stop] - inside[start] >= 0.25 * self.cosine**2 * np.minimum(whole, space["least"])) & (whole > 0))
             for low in range(0, len(likely), 4096):
                 pick = likely[low : low + 4096]
                 # a window is two blocks of STRIDE words; neighbouring windows share one
@@ -233,20 +275,22 @@ class Finder:
                     cuts = np.flatnonzero(np.diff(w, prepend=-1))
                     sums[w[cuts]] = np.add.reduceat(space["coordinates"][at[token]] * weight[token, None], cuts, axis=0)
                 vectors = sums[place[: len(pick)]] + sums[place[len(pick) :]]
-                likeness = vectors @ space["directions"].T / np.sqrt(np.maximum(whole[pick], 1e-9))[:, None]
+                likeness = vectors @ space["directions"].T / np.minimum(np.sqrt(np.maximum(whole[pick], 1e-9))[:, None], space["norms"][None, :])
                 for i, j in np.argwhere(likeness >= self.cosine).tolist():
                     words, answer, (masks, answer_masks) = space["words"][j], space["answers"][j], space["masks"][j]
                     doc = int(owner[pick[i]])
                     lo = max(int(offsets[doc]), int(start[pick[i]]) - len(words))
                     hi = min(int(offsets[doc + 1]), int(stop[pick[i]]) + len(words))
+                    if len(words) < EXACT:
+                        continue
                     there = set(codes[lo:hi].tolist())
                     if sum(n for word, n in space["counts"][j] if word in there) < REWORDED * len(words):
                         continue  # not even out of order
                     share = common_words(codes[lo:hi], masks, len(words)) / len(words)
-                    if share < REWORDED:
+                    if share < HALF:
                         continue
                     replied = common_words(codes[lo:hi], answer_masks, answer) / answer if answer else 1.0
-                    if share >= COPIED or replied >= ANSWERED:
+                    if share >= COPIED or share >= REWORDED and replied >= ANSWERED or shuffled(codes[lo:hi], words) >= SHUFFLED:
                         key, new = (doc, space["items"][j]), (share, replied, min(float(likeness[i, j]), 1.0))
                         found[key] = max(found.get(key, new), new)
         return [(d, item, c, s, r) for (d, item), (s, r, c) in sorted(found.items(), key=lambda x: (x[0][0], str(x[0][1])))]
@@ -276,10 +320,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     that a document holds, copied or reworded.
 
     Null texts are empty and hold nothing; rows that share an id are reported
-    together; a null id is reported as null; of equal benchmark texts one is
-    reported.  An empty benchmark has no leaks.  Other columns are ignored."""
+    together; a null id is reported as null; items of equal texts are judged once
+    and all reported; an item without words is held by none.  An empty benchmark
+    has no leaks.  Other columns are ignored."""
     kind, item = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    items = to_arrow_type(benchmark.schema["item_id"].dataType)
+    named = benchmark.select(F.sha2(benchmark["text"], 256).alias("text_sha"), benchmark["item_id"].alias("item_id")).where("text_sha is not null").distinct()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     out = None
     for shared in finders(rows, benchmark):
@@ -291,14 +336,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 for first, texts in pieces(texts_of(batch, "text")):
                     hits += [(first + d, *rest) for d, *rest in finder.find(texts)]
                 cols = list(zip(*hits)) or [()] * 5
-                arrays = [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], items), *(pa.array(c, pa.float64()) for c in cols[2:])]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "item_id", "cosine", "in_order", "answered"])
+                arrays = [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), *(pa.array(c, pa.float64()) for c in cols[2:])]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "sha", "cosine", "in_order", "answered"])
 
-        one = rows.mapInArrow(run, f"id {kind}, item_id {item}, cosine double, in_order double, answered double")
+        one = rows.mapInArrow(run, f"id {kind}, sha string, cosine double, in_order double, answered double")
         out = one if out is None else out.union(one)
     if out is None:
         return docs.sparkSession.createDataFrame([], f"`{id_col}` {kind}, item_id {item}, cosine double, in_order double, answered double")
-    return out.groupBy(F.col("id").alias(id_col), "item_id").agg(F.max("cosine").alias("cosine"), F.max("in_order").alias("in_order"), F.max("answered").alias("answered"))
+    best = out.groupBy("id", "sha").agg(F.max("cosine").alias("cosine"), F.max("in_order").alias("in_order"), F.max("answered").alias("answered"))
+    return best.join(named, F.col("sha") == F.col("text_sha")).select(F.col("id").alias(id_col), "item_id", "cosine", "in_order", "answered")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

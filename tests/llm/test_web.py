@@ -137,6 +137,47 @@ def test_long_items_are_judged_in_parts(spark):
     assert [r.doc_id for r in decontaminate.leaks(docs, bench).collect()] == [1]
 
 
+def test_short_and_equal_items(spark):
+    rows = [(1, "We saw four grey ships. Then rain."), (2, "four ships grey sailed"), (3, "four, GREY ships"), (4, "四隻灰色的船 " * 3), (5, "x"), (6, "four grey"), (7, "word " * 30000 + "four grey ships")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "four grey ships"), (2, "Four grey ships"), (2, "Four grey ships"), (3, "four grey ships"), (4, "..."), (None, "rain"), (6, "saw four grey ships")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()), key=repr)
+    assert got == sorted([(d, i) for d in (1, 3, 7) for i in (1, 2, 3)] + [(1, None), (1, 6)], key=repr)
+
+
+def test_rewordings_at_a_fifth(spark):
+    """At least nine in ten of the table's items are found after a fifth of their words
+    was deleted, replaced or swapped with its neighbour, and no others."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "benchmark"))
+    rng = np.random.default_rng(11)
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    planted = {d for d, _ in {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}}
+    clean = [r.text.split() for r in docs.collect() if r.doc_id not in planted and len(r.text.split()) > 60][: len(items)]
+
+    def swapped(words):
+        out, i = list(words), 0
+        while i + 1 < len(out):
+            if rng.random() < 0.2:
+                out[i], out[i + 1] = out[i + 1], out[i]
+                i += 1
+            i += 1
+        return out
+
+    changes = [lambda w: [x for x in w if rng.random() >= 0.2], lambda w: [x if rng.random() >= 0.2 else str(rng.choice(clean[0])) for x in w], swapped]
+    for change in changes:
+        rows = [(i, " ".join([*c[:30], *change(text.split()), *c[30:]])) for (i, text), c in zip(items, clean)]
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text").where("false")), bench).collect()}
+        assert all(d == i for d, i in got) and len(got) >= 0.9 * len(rows)
+
+
+def test_stretches_in_any_order():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        x, y = rng.integers(0, 6, 30).astype(np.uint64), rng.integers(0, 6, 8).astype(np.uint64)
+        most = max(sum(min(list(x[i : i + 10]).count(w), list(y).count(w)) for w in set(y.tolist())) for i in range(30))
+        assert decontaminate.shuffled(x, y) == most / 8
+
+
 def test_svd_and_subsequences():
     rng = np.random.default_rng(0)
     a = rng.standard_normal((30, 4)) @ rng.standard_normal((4, 50))
