@@ -4,12 +4,15 @@ Each page becomes a stream of tags and text slots in which repeated runs are
 folded into groups.  The streams of one host are aligned one after another:
 what only some have becomes optional, texts that differ become open slots,
 texts that never differ stay part of the template.  The wrapper so inferred is
-a regular expression without unions.  Its slots are then labelled by the path
-of containers they stand under, and pages are read through these labels.
+a regular expression without unions.  Its slots decide what the paths of
+containers hold: constant slots that most pages have are template, wherever they
+stand; open ones are text, unless a container says that it holds something else.
+Pages are read through these labels.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -26,18 +29,27 @@ from .common import column, stored
 #: Fixed values of the HTML standard: elements without content, elements whose
 #: content is no markup, and elements that end a block of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object title".split())
+RAW = frozenset("script style noscript template textarea iframe title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
-#: Elements that hold no article text, and words of class, id or role that say so.
+#: Elements that hold no article text, and the words of class, role or id that say so:
+#: some whatever stands beside them, others only if no word of another kind does.
 NOISE_TAGS = frozenset("head nav footer aside form button select menu dialog search input label fieldset".split())
-NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comments cookie cookies disqus gdpr masthead nav navbar navigation newsletter pagination promo sidebar sponsored".split())
+NOISE_WORDS = SURE_WORDS | frozenset("banner banners comment consent footer menu modal notice notices popup promoted recommended related respond share sharing skip social sponsor subscribe toolbar widget".split())
+NEUTRAL_WORDS = frozenset("area bar block box buttons col container content form group icons inner item items left links list panel posts right row section slot small top unit wrap wrapper".split())
+#: Elements that can be a container of something else than text.
+HOLDERS = frozenset("article aside details dialog div dl fieldset figure footer form header iframe li main menu nav ol section table ul".split())
+#: Distinct pages that a template text is on at least, and their share of a host's pages.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
 CONTENT_TAGS = frozenset(["article", "main"])
 #: Elements whose end tag may be missing: a new one, or the end of its container, closes them.
 LOOSE = frozenset("p li dt dd tr td th option b i em strong span a u small font".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-#: Longest unit of a repetition, in stream elements.
+#: Longest unit of a repetition that is folded, in stream elements; longer ones stay as they are.
 UNIT = 10
+#: Wrappers of one host that a task aligns.
+FAN = 16
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -66,12 +78,28 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
         yield "start", name, rest
 
 
+def says_noise(name: str, token: str, alone: bool) -> bool:
+    """Whether a class, role or id says that its element holds no article text;
+    ``alone`` if no word of another kind stands beside it."""
+    parts = set(re.split("[-_]+", token))
+    if parts <= SURE_WORDS or name in HOLDERS and parts <= NOISE_WORDS | NEUTRAL_WORDS and parts & SURE_WORDS:
+        return True
+    return alone and name in HOLDERS and bool(parts & NOISE_WORDS) and parts <= NOISE_WORDS | NEUTRAL_WORDS
+
+
 def container(name: str, rest: str) -> str:
-    """A start tag with the words of its class, id and role: ``div.ad.box``."""
-    words = set()
+    """A start tag with its classes and role, without their digits, and with
+    ``!`` if they or its id say that it holds no article text: ``div.ad.box!``."""
+    words, own = set(), ""
     for m in ATTRIBUTE.finditer(rest) if rest else ():
-        words.update(w for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()) if w)
-    return ".".join([name, *sorted(words)])
+        tokens_ = [t for t in (re.sub("[^a-z_-]", "", t).strip("-_") for t in (m[2] or m[3] or m[4] or "").lower().split()) if t]
+        if m[1].lower() == "id":
+            own = "".join(tokens_)
+        else:
+            words.update(tokens_)
+    plain = any(not set(re.split("[-_]+", t)) <= NOISE_WORDS | NEUTRAL_WORDS for t in words)
+    noise = name not in CONTENT_TAGS and name not in ("body", "html") and (any(says_noise(name, t, not plain) for t in words) or bool(own) and says_noise(name, own, not plain))
+    return ".".join([name, *sorted(words)]) + "!" * noise
 
 
 class Walk:
@@ -96,7 +124,7 @@ class Walk:
         stack: list[str] = []
         path, cut = "", True
         for kind, what in self.events:
-            name = what.split(".", 1)[0]
+            name = what.rstrip("!").split(".", 1)[0]
             if kind == "text":
                 yield path, what, cut
                 cut = False
@@ -109,29 +137,29 @@ class Walk:
                 continue
             if kind == "open":
                 if name in LOOSE:
-                    if name in BLOCK and stack and stack[-1].split(".", 1)[0] == name:
+                    if name in BLOCK and stack and stack[-1].rstrip("!").split(".", 1)[0] == name:
                         stack.pop()
                     if name not in BLOCK:
                         continue  # inline elements make no container
                 stack.append(what)
             else:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].split(".", 1)[0] == name:
+                    if stack[i].rstrip("!").split(".", 1)[0] == name:
                         del stack[i:]
                         break
-                    if name in LOOSE and stack[i].split(".", 1)[0] not in LOOSE:
+                    if name in LOOSE and stack[i].rstrip("!").split(".", 1)[0] not in LOOSE:
                         break  # a stray end tag closes no container
-            path = "/".join(s for s in stack if s.split(".", 1)[0] not in LOOSE or "." in s)
+            path = "/".join(s for s in stack if s.rstrip("!").split(".", 1)[0] not in LOOSE or "." in s or "!" in s)
 
 
-# A stream element is a list: ["T", tag], ["S", constant or None, chars, pages, path],
+# A stream element is a list: ["T", tag], ["S", constant or None, chars, times, path, some of its pages],
 # ["R", elements] for a group seen once or more, ["O", elements] for one that may be missing.
 
 
 def shape(e: list) -> str:
     if e[0] == "T":
         return e[1]
-    return "#" if e[0] == "S" else "(" + "".join(map(shape, e[1])) + (")+" if e[0] == "R" else ")?")
+    return f"#{e[4]}#" if e[0] == "S" else "(" + "".join(map(shape, e[1])) + (")+" if e[0] == "R" else ")?")
 
 
 def unite(a: list, b: list) -> list:
@@ -139,7 +167,7 @@ def unite(a: list, b: list) -> list:
     if a[0] == "T":
         return a
     if a[0] == "S":
-        return ["S", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4]]
+        return ["S", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4], sorted({*a[5], *b[5]})[:TEMPLATE_PAGES]]
     return [a[0], [unite(x, y) for x, y in zip(a[1], b[1])]]
 
 
@@ -149,7 +177,7 @@ def fold(stream: list[list]) -> list[list]:
         shapes, out, i = [shape(e) for e in stream], [], 0
         while i < len(stream):
             j = i + unit
-            if shapes[i:j] != shapes[j : j + unit] or shapes[i] == "#" and unit == 1:
+            if shapes[i:j] != shapes[j : j + unit] or shapes[i][0] == "#" and unit == 1:
                 out.append(stream[i])
                 i += 1
                 continue
@@ -166,15 +194,18 @@ def fold(stream: list[list]) -> list[list]:
 def stream_of(html: str) -> list[list]:
     """A page as a folded stream."""
     walk = Walk(html)
+    page = hashlib.blake2b(html.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
     out: list[list] = []
     texts = walk.texts()
     for kind, what in walk.events:
-        name = what.split(".", 1)[0]
+        name = what.rstrip("!").split(".", 1)[0]
         if kind == "text":
             path, raw, _ = next(texts)
             text = " ".join(unescape(raw).split())
             if text:
-                out.append(["S", text if len(text) <= 200 else None, len(text), 1, path])
+                # a long constant is known by its digest
+                constant = text if len(text) <= 200 else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+                out.append(["S", constant, len(text), 1, path, [page]])
         elif name == "br" and kind == "open":
             next(texts)
             out.append(["T", "<br>"])
@@ -239,8 +270,8 @@ def noisy(path: str) -> bool:
     """Whether a container on the path holds no article text."""
     inside = False
     for part in path.split("/"):
-        name, *words = part.split(".")
-        if name in NOISE_TAGS or name == "header" and not inside or not NOISE_WORDS.isdisjoint(words) and name not in ("body", "html", *CONTENT_TAGS):
+        name = part.rstrip("!").split(".", 1)[0]
+        if name in NOISE_TAGS or name == "header" and not inside or part.endswith("!"):
             return True
         inside |= name in CONTENT_TAGS
     return False
@@ -248,7 +279,7 @@ def noisy(path: str) -> bool:
 
 def content(path: str) -> bool:
     """Whether the path leads through an article or main element, and no noise."""
-    return any(s.split(".")[0] in CONTENT_TAGS for s in path.split("/")) and not noisy(path)
+    return any(s.rstrip("!").split(".")[0] in CONTENT_TAGS for s in path.split("/")) and not noisy(path)
 
 
 def marked(elements: list[list]) -> bool:
@@ -256,25 +287,29 @@ def marked(elements: list[list]) -> bool:
     return any(content(e[4]) if e[0] == "S" else e[0] in "RO" and marked(e[1]) for e in elements)
 
 
-def label(wrapper: list[list]) -> dict[str, bool]:
+def label(wrapper: list[list], pages: int) -> dict[str, bool]:
     """For each path of the wrapper's slots, whether it holds article text.
 
-    Slots under an article or main element do, noise aside.  A wrapper without
-    such an element is read by mass: the deepest container that holds four
-    fifths of the open text, template text aside."""
+    A path all of whose slots are constant, on three distinct pages at least and
+    as often as on half of the host's, is template.  Other slots under an article
+    or main element are text, noise aside.  A wrapper without such an element is
+    read by mass: the deepest container that holds four fifths of the open text."""
     mass: dict[str, list[int]] = {}  # path -> [open characters, characters]
+    fixed: dict[str, bool] = {}
 
     def visit(elements: list[list]) -> None:
         for e in elements:
             if e[0] == "S":
+                template = e[1] is not None and len(e[5]) >= TEMPLATE_PAGES and e[3] >= TEMPLATE_SHARE * pages
+                fixed[e[4]] = fixed.get(e[4], True) and template
                 m = mass.setdefault(e[4], [0, 0])
                 m[1] += e[2]
-                m[0] += 0 if e[1] is not None and e[3] > 2 else e[2]
+                m[0] += 0 if template else e[2]
             elif e[0] in "RO":
                 visit(e[1])
 
     visit(wrapper)
-    clean = {p: m for p, m in mass.items() if not noisy(p)}
+    clean = {p: m for p, m in mass.items() if not noisy(p) and not fixed[p]}
     marked = {p for p in clean if any(s.split(".")[0] in CONTENT_TAGS for s in p.split("/"))}
     if not marked and clean:
         whole, prefix = sum(m[0] for m in clean.values()), ""
@@ -322,50 +357,53 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 16) -> DataFrame:
+def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(host, marked, wrapper, labels)``: per host, for its pages that mark an
     article and for those that do not, the expression and, as JSON, the label of
     each path.  Every page is aligned: first within a task, then the
-    wrappers of tasks in salted groups, so that a hot host is no single task's."""
+    wrappers of tasks ``FAN`` at a time, so that a hot host is no single task's."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, bool], dict[str, list[list]]] = {}  # host and marked, shape of a page, stream
+        counts: dict[tuple[str, bool], int] = {}
         held = 0
 
         def out() -> pa.RecordBatch:
             wrappers = {key: reduce(align, streams.values()) for key, streams in found.items()}
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in wrappers], pa.string()), pa.array([m for _, m in wrappers], pa.bool_()), pa.array(map(json.dumps, wrappers.values()), pa.string())], ["host", "marked", "stream"])
+            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in wrappers], pa.string()), pa.array([m for _, m in wrappers], pa.bool_()), pa.array([counts[k] for k in wrappers], pa.int64()), pa.array(map(json.dumps, wrappers.values()), pa.string())], ["host", "marked", "pages", "stream"])
 
         for batch in batches:
             for host, html in zip(column(batch, "host").to_pylist(), column(batch, "html")):
                 stream = stream_of(html.as_py())
                 # pages of one shape are united at once and aligned as one
-                key, same = "".join(map(shape, stream)), found.setdefault((host, marked(stream)), {})
+                kind = (host, marked(stream))
+                key, same = "".join(map(shape, stream)), found.setdefault(kind, {})
+                counts[kind] = counts.get(kind, 0) + 1
                 held += key not in same
                 same[key] = align(same[key], stream) if key in same else stream
                 if held > 5000:
                     yield out()
-                    found, held = {}, 0
+                    found, counts, held = {}, {}, 0
         yield out()
 
     def merged(pdf: pd.DataFrame) -> list[list]:
         # sorted, so that the result does not depend on the order of arrival
-        streams = [json.loads(s) for s in sorted(pdf["stream"])]
-        out = streams[0]
-        for s in streams[1:]:
-            out = align(out, s)
-        return out
+        return reduce(align, [json.loads(s) for s in sorted(pdf["stream"])])
 
     def some(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "marked": pdf["marked"].iloc[:1], "stream": [json.dumps(merged(pdf))]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "marked": pdf["marked"].iloc[:1], "pages": [int(pdf["pages"].sum())], "stream": [json.dumps(merged(pdf))]})
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         wrapper = merged(pdf)
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "marked": pdf["marked"].iloc[:1], "wrapper": [expression(wrapper)], "labels": [json.dumps(label(wrapper))]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "marked": pdf["marked"].iloc[:1], "wrapper": [expression(wrapper)], "labels": [json.dumps(label(wrapper, int(pdf["pages"].sum())))]})
 
     rows = pages.select(host_of(pages[url_col]).alias("host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    parts = rows.mapInArrow(partial, "host string, marked boolean, stream string").withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
-    return parts.groupBy("host", "marked", "salt").applyInPandas(some, "host string, marked boolean, stream string").groupBy("host", "marked").applyInPandas(final, "host string, marked boolean, wrapper string, labels string")
+    parts = rows.mapInArrow(partial, "host string, marked boolean, pages bigint, stream string")
+    groups = rows.rdd.getNumPartitions() // FAN
+    while groups > 1:  # a host has about a wrapper per task at first
+        parts = parts.groupBy("host", "marked", F.pmod(F.xxhash64("stream"), F.lit(groups)).alias("salt")).applyInPandas(some, "host string, marked boolean, pages bigint, stream string")
+        groups //= FAN
+    return parts.groupBy("host", "marked").applyInPandas(final, "host string, marked boolean, wrapper string, labels string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -52,6 +52,46 @@ def test_page_without_article_is_read_by_mass(spark):
     assert got[2].text == "\n".join(" ".join(x.split()) for x in ("sentence 2 " * 20, "more 2 " * 30))
 
 
+def plain_slots(spark, template, n=6, host="http://t/"):
+    rows = [(i, host, template.format(i=i, text=f"open sentence number {i} " * 5)) for i in range(n)]
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_text_inside_articles_goes_by_the_wrapper(spark):
+    """Nothing but the host's other pages tells the box and the licence line from text."""
+    page = "<body><article><h1>Title {i}</h1><div class='hinweis'>Always the same words</div><p>{text}</p><section><p>Licence: as is.</p></section></article></body>"
+    want = {i: f"Title {i}\n" + " ".join((f"open sentence number {i} " * 5).split()) for i in range(6)}
+    assert plain_slots(spark, page) == want
+    alone = plain_slots(spark, page, 1)
+    assert alone[0] == "Title 0\nAlways the same words\n" + want[0].split("\n")[1] + "\nLicence: as is."
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<article><h1>T</h1><div class='x'><p>same text</p></div></article>"
+    rows = [(i, "http://c/", page) for i in range(9)] + [(9, "http://c/", "<article><h1>Other</h1><p>text</p></article>")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"T\nsame text", "Other\ntext"}
+
+
+def test_words_of_slugs_and_paragraphs_are_no_noise(spark):
+    page = "<article><h1>T</h1><h2 id='related-work'>Related work</h2><p class='notice-text'>Body one.</p><section class='social history'><p>Social history of X</p></section><p>x <math><mi>y</mi></math> z</p><p><object>Fall back</object></p><svg><text>drawn</text></svg><div class='ad-banner'>buy</div><div class='cookie-notice box'>ok?</div><section id='comments'>nice</section><div class='share'>share</div></article>"
+    got = html.extract(spark.createDataFrame([(1, "http://x/", page)], "page_id long, url string, html string")).first().text
+    assert got == "T\nRelated work\nBody one.\nSocial history of X\nx y z\nFall back\ndrawn"
+
+
+def test_long_footers_without_an_article(spark):
+    foot = "All rights reserved by the makers of this site. " * 7
+    assert len(foot) > 325
+    page = "<body><div class='story'><p>{text}</p></div><div class='x'>" + foot + "</div></body>"
+    assert plain_slots(spark, page) == {i: " ".join((f"open sentence number {i} " * 5).split()) for i in range(6)}
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + "".join(f"<p>paragraph {i}</p>" for i in range(20000)) + "</article>"
+    got = html.extract(spark.createDataFrame([(1, "http://x/", page)], "page_id long, url string, html string")).first().text
+    assert got == "\n".join(f"paragraph {i}" for i in range(20000))
+
+
 def test_wrapper_is_union_free():
     a = html.stream_of("<ul><li>a</li><li>b</li><li>c</li></ul><p>Same</p>")
     b = html.stream_of("<ul><li>x</li></ul><hr><i>note</i><p>Same</p>")
