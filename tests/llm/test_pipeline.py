@@ -25,8 +25,8 @@ def test_run(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     good = sorted(i for i, t in rows.items() if model.score(np.array([quality.statistics(t.encode())]))[0] >= 0.5)
-    # near copies: a chain of wide fingerprints within the radius
-    wide = {i: int.from_bytes(simhash.wide_fingerprint(rows[i].encode())[0], "big") for i in good}
+    # near copies: a chain of pairs whose five-word shingles have a Jaccard similarity of 0.8
+    sets = {i: shingles(rows[i]) for i in good}
     root = {i: i for i in good}
 
     def top(x):
@@ -36,7 +36,7 @@ def test_run(spark):
 
     for n, i in enumerate(good):
         for j in good[:n]:
-            if (wide[i] ^ wide[j]).bit_count() <= simhash.WIDE_RADIUS:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     kept = [i for i in good if top(i) == i and not any(b in rows[i] for b in bench)]

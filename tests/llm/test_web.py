@@ -258,6 +258,49 @@ def test_quotes_are_linked(spark):
     assert chat.conversations(df.limit(0)).collect() == []
 
 
+def test_passages_are_linked_whatever_their_lines(spark):
+    long = "We should move the meeting to Thursday because the room is taken on Tuesday. The agenda stays as it was last week."
+    wrapped = "> We should move the meeting\n> to Thursday because the room\n> is taken on Tuesday."
+    rows = [
+        (1, 0, "user", long),
+        (1, 1, "bot", wrapped + "\nFine with me, see you all then on Thursday."),
+        (1, 2, "user", "something else entirely that nobody ever quotes"),
+        (1, 3, "user", "> > agenda stays as it was\n> see you all then on Thursday\nGreat."),
+        (1, 4, "user", "> > > The agenda stays as it was last week.\n> never written by anyone here at all\nHm."),
+        (1, 4, "user", "> > > The agenda stays as it was last week.\n> never written by anyone here at all\nHm."),
+        (1, 5, "user", "Zed " + "x" * 300 + " wrote:\n> Great.\nok"),
+    ]
+    one = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert dict(zip(one.turns, one.parents)) == {0: None, 1: 0, 2: None, 3: 1, 4: 0, 5: 3}
+    assert one.n_quotes == 8 and one.n_passages == 6 and "wrote" not in one.chat
+
+
+def test_links_are_those_of_brute_force(spark):
+    """Random quoting: the latest earlier message with most of a passage's hashes."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"v{i}" for i in range(12)]
+    rows, bodies, want = [], {}, {}
+    for c in range(4):
+        for t in range(80):
+            body = " ".join(rng.choice(vocabulary, int(rng.integers(1, 12))))
+            text = body
+            if t and rng.random() < 0.6:
+                o = int(rng.integers(0, t))
+                w = bodies[c, o].split()
+                s = int(rng.integers(0, len(w)))
+                passage = " ".join(w[s:])
+                text = "\n".join("> " + x for x in passage.split(" ", 1)) + "\n" + body
+                asked = chat.runs(passage.replace(" ", "\n", 1)) or chat.units(passage.replace(" ", "\n", 1))
+                latest = [max((p for p in range(t) if h in chat.runs(bodies[c, p]) | chat.units(bodies[c, p])), default=None) for h in asked]
+                latest = [x for x in latest if x is not None]
+                if latest:
+                    want[c, t] = max(set(latest), key=lambda x: (latest.count(x), x))
+            bodies[c, t] = body
+            rows.append((c, t, "user", text))
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, t): p for r in got for t, p in zip(r.turns, r.parents) if p is not None} == want and len(want) > 50
+
+
 def test_long_conversations_come_in_parts(spark):
     df = spark.range(25).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("> message "), (F.col("id") - 1).cast("string"), F.lit("\nmessage "), F.col("id").cast("string")).alias("text"))
     rows = chat.conversations(df, part=10).orderBy("part").collect()
