@@ -1,16 +1,17 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapping.
 
-Matches of the fixed patterns, and values assigned to a cue word such as
-``password``, are the seeds.  Every identifier-like string of the corpus is an
-instance; its shape and the words before and after it are lexical patterns.
+Matches of the fixed patterns are the seeds, and values assigned to a cue word
+such as ``password`` are likely ones.  Every identifier-like string of the corpus is
+an instance; its shape and the words before and after it are lexical patterns.
 Spark scores the graph of patterns and instances in rounds: a pattern is worth
-the mean score of its instances, an instance what its best supported patterns
-together make likely.  Strings that high-confidence patterns point to are added.
+the mean score of its instances, an instance what its cue and its best supported
+patterns together make likely.  Strings that come out likely are added.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,13 +31,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: Words whose assigned value is a seed.
-CUE = re.compile(r"(?:^|[^a-z])(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?$")
-#: Characters of an identifier-like string, and the least of characters and digits that one has.
+#: A cue word, and the value that is assigned to it.
+CUE = re.compile(r"(?<![A-Za-z])(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)\s*([=:])\s*[\"']?([^\s\"'<>]+)", re.I)
+#: How likely a value is by its cue alone: assigned or with a digit; and a word after a colon.
+ASSIGNED, NAMED = 0.9, 0.5
+#: Characters of an identifier-like string, and the least of characters and digits that
+#: define one where no cue does; groups of it that single spaces part.
 PART = LOCAL | frozenset("@/_")
 LEAST_CHARS, LEAST_DIGITS = 8, 3
+GROUPS = re.compile(r"(?: [0-9A-Z]{4}\b){2,}(?: [0-9A-Z]{1,4}\b)?")
 #: Rounds of scoring; instances that a pattern must have; scores of high confidence.
 ROUNDS, SUPPORT, CONFIDENT = 3, 3, 0.8
+#: Parts that the instances of a pattern are dealt to.
+SALTS = 8
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -90,11 +97,21 @@ def shape(value: str) -> str:
     return "".join(f"d{len(r)}" if r[0].isdigit() else ("a" if r.islower() else "A") + str(min(len(r), 9)) if r.isalpha() else r for r in runs)
 
 
+def _near(text: str, start: int, step: int, words: int) -> list[str]:
+    """At least ``words`` whole strings before (``step`` -1) or after a place, if there are."""
+    reach = 64
+    while True:
+        part = text[max(0, start - reach) : start] if step < 0 else text[start : start + reach]
+        found = re.sub(r"[0-9]", "0", part.lower()).split()
+        if len(found) > words or reach >= len(text):
+            return found
+        reach *= 4
+
+
 def lexical(text: str, start: int, end: int) -> list[str]:
     """The patterns of an occurrence: its shape, the last and the last three
     strings before it, and the next one after it."""
-    before = re.sub(r"[0-9]", "0", text[max(0, start - 48) : start].lower()).split()
-    after = re.sub(r"[0-9]", "0", text[end : end + 32].lower()).split()
+    before, after = _near(text, start, -1, 3), _near(text, end, 1, 1)
     out = ["S|" + shape(text[start:end])]
     if before:
         out += ["L|" + before[-1], "M|" + " ".join(before[-3:])]
@@ -103,12 +120,25 @@ def lexical(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, bool]]:
-    """(start, end, whether it is a seed): base spans, values of cue words and
-    other identifier-like strings, which overlap no base span."""
-    out = [(s, e, True) for _, s, e in base]
+def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, float]]:
+    """(start, end, how likely it is by itself): base spans are certain; values of
+    cue words and other identifier-like strings, which overlap no base span and
+    not each other."""
+    out = [(s, e, 1.0) for _, s, e in base]
     taken = sorted((s, e) for s, e, _ in out)
-    done, i = 0, 0
+
+    def free(s: int, e: int) -> bool:
+        i = bisect(taken, (s, e))
+        return (i == len(taken) or taken[i][0] >= e) and not any(b > s for _, b in taken[max(0, i - 4) : i])
+
+    for m in CUE.finditer(text):
+        s, e = m.span(2)
+        while e > s and not text[e - 1].isalnum():
+            e -= 1
+        if e > s and free(s, e):
+            out.append((s, e, ASSIGNED if m[1] == "=" or DIGIT.search(text, s, e) else NAMED))
+            insort(taken, (s, e))
+    done = 0
     for m in DIGIT.finditer(text):
         s = m.start()
         if s < done:
@@ -118,15 +148,16 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
             s -= 1
         while e < len(text) and text[e] in PART:
             e += 1
+        if groups := GROUPS.match(text, e):
+            if DIGIT.search(groups[0]):
+                e = groups.end()
         done = e
         while s < e and not text[s].isalnum():
             s += 1
         while e > s and not text[e - 1].isalnum():
             e -= 1
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        if e - s >= LEAST_CHARS and not any(a < e and b > s for a, b in taken[i : i + 4]) and sum(c.isdigit() for c in text[s:e]) >= LEAST_DIGITS:
-            out.append((s, e, bool(CUE.search(text[max(0, s - 32) : s].lower()))))
+        if e - s >= LEAST_CHARS and sum(c.isdigit() for c in text[s:e]) >= LEAST_DIGITS and free(s, e):
+            out.append((s, e, 0.0))
     return out
 
 
@@ -139,33 +170,36 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in texts_of(batch, "text"):
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                seen.append([{"start": s, "end": e, "value": text[s:e], "seed": seed, "patterns": lexical(text, s, e)} for s, e, seed in instances(text, spans)])
+                seen.append([{"start": s, "end": e, "value": text[s:e], "prior": prior, "patterns": lexical(text, s, e)} for s, e, prior in instances(text, spans)])
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), pa.array(base, span), pa.array(seen, instance)], ["id", "text_hash", "base", "instances"])
 
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    instance = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+    instance = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("prior", pa.float64()), ("patterns", pa.list_(pa.string()))]))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, base array<struct<kind string, start bigint, end bigint>>, instances array<struct<start bigint, end bigint, value string, seed boolean, patterns array<string>>>")
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, base array<struct<kind string, start bigint, end bigint>>, instances array<struct<start bigint, end bigint, value string, prior double, patterns array<string>>>")
 
 
 def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """``(value, score)`` of the strings that no seed names but confident patterns do.
+    """``(value, score)`` of the strings that are no base span but come out likely.
 
     Edges are distinct pairs of pattern and value, so copies of a document
-    count once; sums are combined before they are shuffled."""
-    seen = scanned.select(F.explode("instances").alias("i")).select("i.value", "i.seed", "i.patterns")
-    edges = stored(seen.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    values = stored(seeds.select("value", "seed", F.col("seed").cast("double").alias("score")), "pii-values")
+    count once; sums are combined before they are shuffled, and the instances of
+    a pattern are dealt to ``SALTS`` parts where its worth is handed on."""
+    seen = scanned.select(F.explode("instances").alias("i")).select("i.value", "i.prior", "i.patterns")
+    edges = stored(seen.select("value", "prior", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("prior").alias("prior")), "pii-edges")
+    priors = edges.groupBy("value").agg(F.max("prior").alias("prior"))
+    values = stored(priors.select("value", "prior", F.col("prior").alias("score")), "pii-values")
+    salted = edges.select("pattern", "value", F.pmod(F.xxhash64("value"), F.lit(SALTS)).alias("salt"))
     for _ in range(rounds):
         # a pattern's worth: mean score of its values, drawn down while it has few
-        worth = edges.select("pattern", "value").join(values, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"), F.count("*").alias("n"), F.max("seed").alias("seeded"))
-        strong = worth.where((F.col("n") >= support) & F.col("seeded") & (F.col("worth") >= confident / 2)).select("pattern", "worth")
-        # an instance's score: one minus the chance that all its patterns are wrong
-        named = edges.select("pattern", "value").join(strong, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-6)))))).alias("likely"), F.max("worth").alias("best"))
-        values = stored(values.join(named, "value", "left").select("value", "seed", F.when(F.col("seed"), 1.0).when(F.col("best") >= confident, F.col("likely")).otherwise(F.coalesce(F.col("likely"), F.lit(0.0)) * 0.5).alias("score")), "pii-values")
-    return values.where(~F.col("seed") & (F.col("score") >= confident)).select("value", "score")
+        worth = edges.select("pattern", "value").join(values, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("worth"), F.count("*").alias("n"), F.max("prior").alias("seeded"))
+        strong = worth.where((F.col("n") >= support) & (F.col("seeded") >= ASSIGNED) & (F.col("worth") >= confident / 2)).select("pattern", "worth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+        # an instance's score: one minus the chance that its cue and all its patterns are wrong
+        named = salted.join(strong, ["pattern", "salt"]).groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-6)))))).alias("likely"), F.max("worth").alias("best"))
+        found = F.when(F.col("best") >= confident, F.col("likely")).otherwise(F.coalesce("likely", F.lit(0.0)) * 0.5)
+        values = stored(values.join(named, "value", "left").select("value", "prior", (1 - (1 - F.col("prior")) * (1 - found)).alias("score")), "pii-values")
+    return values.where((F.col("prior") < 1) & (F.col("score") >= confident)).select("value", "score")
 
 
 def _joined(spans: Column) -> Column:
@@ -174,25 +208,17 @@ def _joined(spans: Column) -> Column:
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text_hash, base, added)`` per row: base spans, and the spans that
-    cue words and bootstrapping add, as arrays of (kind, start, end)."""
+    bootstrapping adds, as arrays of (kind, start, end)."""
     scanned = stored(scan(docs, id_col, text_col), "pii-scan")
     known = bootstrap(scanned).select("value")
-    rows = scanned.select("id", "text_hash", F.explode("instances").alias("i")).select("id", "text_hash", "i.start", "i.end", "i.value", "i.seed").distinct()
-    base = scanned.select("id", "text_hash", F.explode("base").alias("b")).select("id", "text_hash", "b.start", "b.end").distinct()
-    cued = _cued(rows, base)
-    found = rows.where(~F.col("seed")).join(known, "value", "left_semi").select("id", "text_hash", "start", "end")
-    added = cued.union(found).groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct(F.col("start"), F.col("end")))).alias("more"))
+    rows = scanned.select("id", "text_hash", F.explode("instances").alias("i")).where("i.prior < 1").select("id", "text_hash", "i.start", "i.end", "i.value").distinct()
+    found = rows.join(known, "value", "left_semi")
+    added = found.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct(F.col("start"), F.col("end")))).alias("more"))
     added = added.select(F.col("id").alias("i2"), F.col("text_hash").alias("h2"), F.transform("more", lambda s: F.struct(F.lit(ADDED).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("more"))
     joined = scanned.join(added, F.col("id").eqNullSafe(F.col("i2")) & (F.col("text_hash") == F.col("h2")), "left")
     return joined.select("id", "text_hash", "base", F.coalesce("more", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")).alias("added"))
 
 
-def _cued(rows: DataFrame, base: DataFrame) -> DataFrame:
-    """Seeds that are no base span."""
-    b = base.select(F.col("id").alias("bi"), F.col("text_hash").alias("bh"), F.col("start").alias("bs"), F.col("end").alias("be"))
-    return rows.where("seed").join(b, F.col("id").eqNullSafe(F.col("bi")) & (F.col("text_hash") == F.col("bh")) & (F.col("start") == F.col("bs")) & (F.col("end") == F.col("be")), "left_anti").select("id", "text_hash", "start", "end")
-
-
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` per row.
 

@@ -312,6 +312,28 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert found[10] == "id:14:30" and found[11] == "" and found[12] == "id:9:19,id:37:53"
 
 
+def test_planted_kinds_are_found(spark):
+    """Recall of what the fixed patterns do not know: secrets of any form after a cue,
+    and identifiers that only their contexts give away."""
+    rng = random.Random(6)
+    good = [c for c in (str(4539578763621000 + n) for n in range(1, 800)) if pii.luhn(c)][:30]
+    rows = [(i, f"The account number is {c} as agreed") for i, c in enumerate(good)]
+    planted = {}
+    for n in range(60):
+        secret = ["correcthorse", "Hunter2", f"k{rng.getrandbits(40):x}", "pässwörter"][n % 4]
+        planted[1000 + n] = [f"login with password={secret} please", f"my secret: {secret}, he said"][n % 4 in (1, 2)], secret
+        if n < 10:  # one in four of the context's strings is no base span
+            bad = str(int(good[n]) + 1)
+            planted[2000 + n] = f"The account number is {bad} as agreed", bad
+    rows += [(i, text) for i, (text, _) in planted.items()] + [(i, f"In {1900 + i % 100} there were {i} of them, version 2.{i}.") for i in range(3000, 3060)] + [(4000, "the secret: nobody knows"), (4001, "IBAN DE89 3704 0044 0532 0130 00 here")]
+    found = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = [i for i, (text, secret) in planted.items() if any(text[int(s) : int(e)] == secret for _, s, e in found[i])]
+    assert len(hit) >= 0.9 * len(planted)
+    assert not any(found[i] for i in range(3000, 3060))
+    text = rows[-1][1]
+    assert [text[s:e] for s, e, _ in pii.instances(text, [])] == ["DE89 3704 0044 0532 0130 00"]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a.b@c.de or +1 (555) 123-4567.", "x"), (2, None, "y"), (3, "nothing", "z"), (1, "mail a.b@c.de or +1 (555) 123-4567.", "x")], "doc_id long, text string, start string")
     got = pii.redact(df)
