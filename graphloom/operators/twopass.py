@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -175,3 +175,8 @@ def write_split(entities: DataFrame, folder: str, prefix: str) -> None:
     """The frames of :func:`split_source` as Parquet tables ``<prefix>.<name>``."""
     for name, df in split_source(entities).items():
         df.write.parquet(f"{folder}/{prefix}.{name}")
+
+
+def with_positions(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``df`` with ``position``: from 1 within each group of ``keys``, by ``order``."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))

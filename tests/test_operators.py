@@ -275,3 +275,9 @@ def test_resume_and_window(spark):
     done = spark.createDataFrame([(1, True), (2, False)], "global_idx long, success boolean")
     assert sorted(r.global_idx for r in extract.resume(records, done).collect()) == [0, 2, 3, 4]
     assert extract.window(records, "global_idx", 1, 0).count() == 0 and extract.window(records, "global_idx", 1, 0, True).count() == 4
+
+
+def test_positions_start_at_one_in_each_group(spark):
+    df = spark.createDataFrame([("a", 5), ("a", 2), ("b", 9)], "k string, o int")
+    assert {(r.k, r.o): r.position for r in twopass.with_positions(df, ["k"], "o").collect()} == {("a", 2): 1, ("a", 5): 2, ("b", 9): 1}
+    assert twopass.with_positions(df.limit(0), ["k"], "o").collect() == []
