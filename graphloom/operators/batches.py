@@ -62,6 +62,11 @@ def places(df: DataFrame, *order: str) -> DataFrame:
     return ranged.join(before, F.col("_part") == F.col("_p")).withColumn("place", F.col("_own") + F.col("_before")).drop("_part", "_own", "_p", "_before")
 
 
+def with_index(df: DataFrame, *order: str, offset: int = 0, name: str = "global_idx") -> DataFrame:
+    """``df`` with whole numbers from ``offset`` on, without gaps, in the given order."""
+    return places(df, *order).withColumn(name, F.col("place") + offset).drop("place", "total")
+
+
 def shards(df: DataFrame, order: str, parts: int) -> DataFrame:
     """``shard`` from 1: contiguous ranges by ``order``, the first ones a row
     longer; parts are at least 1 and at most the rows."""

@@ -277,7 +277,8 @@ def test_resume_and_window(spark):
     assert extract.window(records, "global_idx", 1, 0).count() == 0 and extract.window(records, "global_idx", 1, 0, True).count() == 4
 
 
-def test_positions_start_at_one_in_each_group(spark):
-    df = spark.createDataFrame([("a", 5), ("a", 2), ("b", 9)], "k string, o int")
-    assert {(r.k, r.o): r.position for r in twopass.with_positions(df, ["k"], "o").collect()} == {("a", 2): 1, ("a", 5): 2, ("b", 9): 1}
-    assert twopass.with_positions(df.limit(0), ["k"], "o").collect() == []
+def test_indexes_are_contiguous(spark):
+    df = spark.createDataFrame([(f"k{i % 3}", i) for i in range(50)], "k string, o int")
+    got = batches.with_index(df, "k", "o", offset=7).orderBy("k", "o").collect()
+    assert [r.global_idx for r in got] == list(range(7, 57))
+    assert batches.with_index(df.limit(0), "k").collect() == []
