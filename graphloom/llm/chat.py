@@ -73,7 +73,7 @@ def units(text: str) -> set[int]:
 
 def messages(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Per message: its own text, the number of quoted passages and their depth,
-    the hashes of its text, and the passages with their levels and hashes."""
+    and the passages with their levels and hashes."""
     asked_type = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("hashes", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +82,26 @@ def messages(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             for raw in column(batch, "text").to_pylist():
                 body, quoted = parse(raw or "")
                 asked = [{"passage": n, "level": level, "hashes": sorted(runs(passage) or units(passage))} for n, (level, passage) in enumerate(quoted)]
-                rows.append((body, len(quoted), max((level for level, _ in quoted), default=0), sorted(runs(body) | units(body)), asked))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), asked_type]
-            yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("conv", "turn", "role")] + [pa.array(c, k) for c, k in zip(cols, kinds)], ["conv", "turn", "role", "body", "n_quotes", "depth", "said", "asked"])
+                rows.append((body, len(quoted), max((level for level, _ in quoted), default=0), asked))
+            cols = list(zip(*rows)) or [()] * 4
+            kinds = [pa.string(), pa.int32(), pa.int32(), asked_type]
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("conv", "turn", "role")] + [pa.array(c, k) for c, k in zip(cols, kinds)], ["conv", "turn", "role", "body", "n_quotes", "depth", "asked"])
 
     kind = chats.schema[conv_col].dataType.simpleString()
     rows = chats.select(chats[conv_col].alias("conv"), chats[turn_col].cast("bigint").alias("turn"), F.coalesce(F.lower(F.trim(chats[role_col])), F.lit("")).alias("role"), chats[text_col].alias("text"))
-    return rows.mapInArrow(run, f"conv {kind}, turn bigint, role string, body string, n_quotes int, depth int, said array<bigint>, asked array<struct<passage int, level int, hashes array<bigint>>>")
+    return rows.mapInArrow(run, f"conv {kind}, turn bigint, role string, body string, n_quotes int, depth int, asked array<struct<passage int, level int, hashes array<bigint>>>")
+
+
+def own_hashes(parsed: DataFrame) -> DataFrame:
+    """``(conv, turn, hash)``: the hashes of the messages' own texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([sorted(runs(b) | units(b)) for b in column(batch, "body").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(batch, "conv"), column(batch, "turn"), found], ["conv", "turn", "said"])
+
+    kind = parsed.schema["conv"].dataType.simpleString()
+    return parsed.select("conv", "turn", "body").mapInArrow(run, f"conv {kind}, turn bigint, said array<bigint>").select("conv", "turn", F.explode("said").alias("hash"))
 
 
 def latest_before(both: DataFrame) -> DataFrame:
@@ -141,7 +153,7 @@ def replies(parsed: DataFrame) -> DataFrame:
     # only what somebody quotes in the conversation matters
     wanted = asked.select(F.col("conv").alias("c2"), F.col("hash").alias("h2")).distinct()
     quoting = asked.select(F.col("conv").alias("c1")).distinct()
-    said = parsed.where("turn is not null").join(quoting, F.col("conv").eqNullSafe(F.col("c1")), "left_semi").select("conv", "turn", F.explode("said").alias("hash"))
+    said = own_hashes(parsed.where("turn is not null").join(quoting, F.col("conv").eqNullSafe(F.col("c1")), "left_semi"))
     said = said.join(wanted, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("hash") == F.col("h2")), "left_semi").distinct()
     none = F.lit(None).cast("int")
     found = latest_before(said.select("conv", "turn", none.alias("passage"), none.alias("level"), "hash").unionByName(asked))
