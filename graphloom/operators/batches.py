@@ -12,6 +12,7 @@ from ..scratch import stored
 #: Where rows without an index are sorted.
 NO_INDEX = 10**12
 
+
 def union_batches(*frames: DataFrame) -> DataFrame:
     """Union by name; columns that a batch lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
