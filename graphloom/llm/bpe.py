@@ -35,10 +35,12 @@ NUMBERS_16 = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-
 INNER_SPACE = re.compile(r"\s \s|\s $")
 #: Marks keys of chunks that no space precedes; no valid text holds it.
 BARE = "\ud800"
-#: Characters that wait for new chunks to be merged, words that are merged at a time,
+#: Characters and new chunks that wait to be merged, words that are merged at a time,
 #: bytes of finished chunks that a worker keeps before it starts its table anew, and
-#: ids of an output batch.  Only memory depends on them.
-WAITING, MERGED, KEPT_BYTES, EMITTED = 2 << 20, 1 << 16, 32 << 20, 1 << 20
+#: ids of an output batch.  Only memory and speed depend on them.
+WAITING, FRESH, MERGED, KEPT_BYTES, EMITTED = 8 << 20, 1 << 17, 1 << 17, 48 << 20, 1 << 20
+#: New pairs of a merge that are listed one by one; more are sorted.  Only speed depends on it.
+LISTED = 64
 
 
 def byte_alphabet() -> list[str]:
@@ -137,21 +139,28 @@ class PairIndexBpe:
         before[(ends - sizes)[sizes > 0]] = -1
         alive = np.ones(n, bool)
 
-        places: dict[int, list[int]] = {}
-        first = np.flatnonzero(after >= 0)
+        # the positions of a pair: those known from the start and from large
+        # merges as arrays, those that small merges add one by one
+        blocks: dict[int, list[np.ndarray]] = {}
+        singles: dict[int, list[int]] = {}
+        heap: list[int] = []
+
+        def listed(rank: np.ndarray, place: np.ndarray) -> None:
+            order = np.argsort(rank, kind="stable")
+            rank, place = rank[order], place[order]
+            cuts = np.flatnonzero(np.diff(rank, prepend=-1))
+            for r, s, e in zip(rank[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
+                if r not in blocks and r not in singles:
+                    heapq.heappush(heap, r)
+                blocks.setdefault(r, []).append(place[s:e])
+
+        first = np.flatnonzero(after >= 0).astype(np.int32)
         rank = self.ranks(sym[first], sym[first + 1])
-        first, rank = first[rank >= 0], rank[rank >= 0]
-        order = np.argsort(rank, kind="stable")
-        first, rank = first[order], rank[order]
-        cuts = np.flatnonzero(np.diff(rank, prepend=-1))
-        for r, s, e in zip(rank[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(rank)]):
-            places[r] = first[s:e].tolist()
-        heap = list(places)
-        heapq.heapify(heap)
+        listed(rank[rank >= 0], first[rank >= 0])
         while heap:
             r = heapq.heappop(heap)
             a, b = self.left[r], self.right[r]
-            pos = np.array(places.pop(r), np.int32)
+            pos = np.concatenate([*blocks.pop(r, ()), np.array(singles.pop(r, ()), np.int32)])
             pos.sort()
             nxt = after[pos]
             ok = alive[pos] & (sym[pos] == a) & (nxt >= 0)
@@ -180,12 +189,17 @@ class PairIndexBpe:
             start = np.concatenate((left, pos[has]))
             new = self.ranks(sym[start], sym[after[start]])
             good = new >= 0
-            for k, p in zip(new[good].tolist(), start[good].tolist()):
-                if k in places:
-                    places[k].append(p)
+            new, start = new[good], start[good]
+            if len(new) > LISTED:
+                listed(new, start)
+                continue
+            for k, p in zip(new.tolist(), start.tolist()):
+                if k in singles:
+                    singles[k].append(p)
                 else:
-                    places[k] = [p]
-                    heapq.heappush(heap, k)
+                    if k not in blocks:
+                        heapq.heappush(heap, k)
+                    singles[k] = [p]
         counts = np.add.reduceat(np.append(alive, False), np.minimum(ends - sizes, n), dtype=np.int64) if len(words) else np.zeros(0, np.int64)
         counts[sizes == 0] = 0
         return sym[alive].astype(np.uint32), counts
@@ -210,13 +224,14 @@ class PairIndexBpe:
         self.held += sum(map(len, chunks)) + 160 * len(chunks)
 
     def encode_all(self, texts: Iterable[str], budget: int = WAITING) -> Iterator[np.ndarray]:
-        """The ids of each text, ``budget`` characters at a time."""
+        """The ids of each text, in order; texts of ``budget`` characters, or of
+        ``FRESH`` new chunks, wait together."""
         waiting: list[list[np.ndarray | int]] = []
         held = 0
         for text in texts:
             waiting.append(self._numbered(text))
             held += len(text)
-            if held >= budget:
+            if held >= budget or len(self.number) - self.known >= FRESH:
                 yield from self._flush(waiting)
                 waiting, held = [], 0
         yield from self._flush(waiting)

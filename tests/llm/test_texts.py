@@ -149,6 +149,8 @@ def test_bpe_in_small_steps(spark, docs, reference, monkeypatch):
         own = bpe.PairIndexBpe(f.read())
     monkeypatch.setattr(bpe, "MERGED", 7)
     monkeypatch.setattr(bpe, "KEPT_BYTES", 3000)
+    monkeypatch.setattr(bpe, "FRESH", 40)
+    monkeypatch.setattr(bpe, "LISTED", 1)
     rows = [b.decode() for _, b in texts(docs)][:60] + ["", "a  b", "x" * 3000]
     got = list(own.encode_all(rows, budget=500))
     assert [g.tolist() for g in got] == [e.ids for e in reference.encode_batch(rows, add_special_tokens=False)]
